@@ -69,9 +69,10 @@ def coverage_curve(freq: DataFrame) -> DataFrame:
 
     Runs as a distributed rank, so a long tail of equal counts is no problem.
     """
-    ranked = global_rank(freq.select("code", "n"), [F.desc("n"), F.asc("code")], running={"n": "cum_n"})
-    total = freq.agg(F.sum("n")).scalar()
-    return ranked.withColumn("coverage", F.when(total > 0, F.col("cum_n") / total).otherwise(F.lit(0.0)))
+    order = [F.desc("n"), F.asc("code")]
+    ranked = global_rank(freq.select("code", "n"), order, running={"n": "cum_n"}, totals={"n": "total_n"})
+    share = F.when(F.col("total_n") > 0, F.col("cum_n") / F.col("total_n")).otherwise(F.lit(0.0))
+    return ranked.withColumn("coverage", share).drop("total_n")
 
 
 def select_codes_fixed_k(curve: DataFrame, k: int) -> DataFrame:

@@ -16,22 +16,25 @@ def global_rank(
     rank: str = "rank",
     total: str | None = None,
     running: dict[str, str] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add the 1..N position of every row under ``order`` (a total order).
 
     ``running`` maps a numeric column to the name of its running sum, ``total``
-    names a column with N. Rows are range-partitioned on the order, so equal
+    names a column with N, ``totals`` maps a running column to the name of its
+    overall sum. Rows are range-partitioned on the order, so equal
     leading values spread over tasks; the per-partition counts (one row per
     shuffle partition) become offsets. The ranged rows are checkpointed, so
     counting and ranking see the same partitions.
     """
-    running = running or {}
+    running, totals = running or {}, totals or {}
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(
         df.repartitionByRange(parts, *order).withColumn(_PART, F.spark_partition_id())
     )
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = {f"__sum_{c}": F.sum(c) for c in running}
     per_part = ranged.groupBy(_PART).agg(
         F.count(F.lit(1)).alias("__n"), *[s.alias(name) for name, s in sums.items()]
@@ -39,8 +42,9 @@ def global_rank(
     offsets = per_part.select(
         _PART,
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"),
+        F.sum("__n").over(everything).alias("__all"),
         *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums],
+        *[F.sum(f"__sum_{c}").over(everything).alias(name) for c, name in totals.items()],
     )
     inside = Window.partitionBy(_PART).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
