@@ -20,8 +20,11 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 _LATIN = range(0x00C0, 0x0250)
 
 
-def _char_class(code_points) -> str:
-    return "".join(f"\\x{{{cp:X}}}" for cp in code_points)
+def _char_class(code_points: list[int]) -> str:
+    """Sorted code points as regex ranges (a long list of single ones is slow)."""
+    starts = [cp for cp in code_points if cp - 1 not in code_points]
+    ends = [cp for cp in code_points if cp + 1 not in code_points]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends))
 
 
 def _folded(cp: int) -> str:
@@ -102,29 +105,31 @@ def tokenize(col: Column, anonymize_numbers: bool = True, unicode_fold: bool = T
     return tokens
 
 
-def word_grams(text: Column, low: int, high: int) -> Column:
-    """Word n-grams (runs of two or more word characters), joined by one space."""
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
-    if high == 1:
-        return words
-    return _grams(words, low, high, " ")
+def words(text: Column) -> Column:
+    """Runs of two or more word characters."""
+    return F.regexp_extract_all(text, F.lit(f"({WORD})"))
 
 
-def char_grams(text: Column, low: int, high: int) -> Column:
-    """Character n-grams; runs of two or more blanks count as one space.
+def characters(text: Column) -> Column:
+    """Characters of a text; runs of two or more blanks count as one space.
 
-    Characters are split once and sliced, since ``substring`` walks the whole
-    UTF-8 text for every gram.
+    Split once, so that grams are built by position: ``substring`` would walk
+    the whole UTF-8 text for every gram.
     """
-    collapsed = F.regexp_replace(text, r"(?U)\s\s+", " ")
-    chars = F.filter(F.split(collapsed, ""), lambda c: c != "")
-    return _grams(chars, low, high, "")
+    return F.filter(F.split(F.regexp_replace(text, r"(?U)\s\s+", " "), ""), lambda c: c != "")
 
 
-def _grams(items: Column, low: int, high: int, sep: str) -> Column:
+def ngrams(items: str, low: int, high: int, sep: str) -> Column:
+    """All n-grams of an array *column*, n from ``low`` to ``high``.
+
+    The items must be a stored column: an expression inside the lambda would
+    be evaluated again for every gram. Positions are read one by one, since
+    ``slice`` copies the whole array each time.
+    """
+
     def of_size(n: int) -> Column:
         last = F.size(items) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(items, i + 1, n), sep))
+        return F.transform(starts, lambda i: F.concat_ws(sep, *[F.get(items, i + k) for k in range(n)]))
 
-    return F.concat(*[items if n == 1 and sep else of_size(n) for n in range(low, high + 1)])
+    return F.concat(*[F.col(items) if n == 1 else of_size(n) for n in range(low, high + 1)])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # A table is offered for broadcast only after this many rows have been proven
 # to be its upper bound (label maps, thresholds, capped vocabularies).
 BROADCAST_ROWS = 1_000_000
+BROADCAST_CELLS = 20_000_000
 
 
 def build_session(app: str = "tagloom", cores: str | None = None) -> SparkSession:
@@ -55,12 +56,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, cells: str | None = None, max_cells: int = BROADCAST_CELLS
+) -> DataFrame:
     """Hint a broadcast when ``df`` is proven to hold at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows. A larger table is returned
-    without a hint, so that Spark shuffles both sides (AQE splits hot keys).
-    Call it on tables that are cheap to read twice: checkpointed or stored.
+    The check reads at most ``max_rows + 1`` rows. ``cells`` names an array
+    column whose entries are bounded by ``max_cells`` as well. A larger table
+    is returned without a hint, so that Spark shuffles both sides (AQE splits
+    hot keys). Call it on tables that are cheap to read twice: checkpointed or
+    stored.
     """
+    if cells is not None and (df.agg(F.sum(F.size(cells))).first()[0] or 0) > max_cells:
+        return df
     rows = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over all cores when it comes in fewer partitions.
+
+    For small or unsplittable inputs (one gz file, one row group) ahead of
+    text work; a scan with enough partitions is left alone, so nothing is
+    shuffled at scale. Hashing on the key keeps a re-run task identical.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
