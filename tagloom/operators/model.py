@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.operators.features import long_features, to_vectors
-from tagloom.session import broadcast_if_small, ensure_checkpoint_dir
+from tagloom.session import broadcast_if_small, scratch_path
 
 # Defaults of the linear model.
 INVERSE_REGULARISATION, MAX_ITERATIONS = 2.0, 400
@@ -59,8 +58,7 @@ def fit_ovr_logreg(
     holds more than ``threads`` weight vectors.
     """
     spark = features.sparkSession
-    ensure_checkpoint_dir(spark)
-    store = f"{spark.sparkContext.getCheckpointDir()}/ovr-{uuid.uuid4().hex}"
+    store = scratch_path(spark, "ovr")
     vectors = to_vectors(features.select("labels_idx", "feature_ids", "feature_values"), n_features)
     vectors = vectors.select("labels_idx", "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
