@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import spread
+
 CATEGORY = "en"
 
 
@@ -14,9 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two notes per admission; about five customers make one subject."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     on = docs.select(
         F.col("doc_id").alias("note_id"), F.expr("doc_id DIV 2").alias("hadm_id"), F.col("lang").alias("category"), "text"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tagloom.catalog.fixtures import CATEGORY, sql
 from tagloom.functions import cleaning as cfx
 from tagloom.functions import paths as px
 from tagloom.operators import cleaning, labels, merge
+from tagloom.plans import dataset
 from tagloom.session import cut_lineage
 
 QUERIES: dict = {}
@@ -54,13 +57,26 @@ def curve(spark: SparkSession, d: str) -> DataFrame:
     return labels.coverage_curve(frequency(spark, d))
 
 
-def label_map(spark: SparkSession, d: str) -> DataFrame:
-    """Full label map, stored once because later steps read it several times."""
-    return cut_lineage(labels.build_label_map(curve(spark, d)))
+# The merged rows a label map was built from, for as long as the map lives: the
+# merge over the texts runs once per query, not once per step.
+_ROWS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def label_map(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """Label map of the merged rows; both are stored, since later steps read them again."""
+    rows = cut_lineage(labelled(spark, d))
+    mapping, _ = dataset.label_space(rows, k)
+    _ROWS[mapping] = rows
+    return mapping
+
+
+def rows_of(mapping: DataFrame) -> DataFrame:
+    return _ROWS[mapping]
 
 
 def encoded(spark: SparkSession, d: str, mapping: DataFrame | None = None) -> DataFrame:
-    return labels.encode_labels(labelled(spark, d), mapping if mapping is not None else label_map(spark, d))
+    mapping = mapping if mapping is not None else label_map(spark, d)
+    return labels.encode_labels(rows_of(mapping), mapping)
 
 
 def joined(col: str):
@@ -418,7 +434,7 @@ _TOP = 15  # a label space smaller than the codes, so that some codes are unknow
 
 
 def partial_map(spark: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(labels.build_label_map(labels.select_codes_fixed_k(curve(spark, d), _TOP)))
+    return label_map(spark, d, _TOP)
 
 
 _PMAP = ("pmap", f"SELECT code, idx FROM label_map WHERE idx < {_TOP}")
@@ -431,7 +447,8 @@ _PENC = ("penc", """SELECT m.subject_id, m.hadm_id, coalesce(x.l, CAST([] AS INT
     sql("SELECT p.hadm_id, p.code, m.idx FROM pairs p LEFT JOIN pmap m USING (code)", _PMAP),
 )
 def q_lookup_label_idx(spark, d):
-    return labels.lookup_label_idx(labelled(spark, d), partial_map(spark, d), "hadm_id")
+    mapping = partial_map(spark, d)
+    return labels.lookup_label_idx(rows_of(mapping), mapping, "hadm_id")
 
 
 @query("encode_labels", sql(f"SELECT subject_id, hadm_id, {JOIN.format('labels_idx')} FROM penc", _PMAP, _PENC))
@@ -462,7 +479,8 @@ def q_multi_hot_dense(spark, d):
             (SELECT count(*) FROM pairs WHERE code NOT IN (SELECT code FROM pmap)) AS unknown FROM penc)""", _PMAP, _PENC),
 )
 def q_encoding_stats(spark, d):
-    mapping, rows = partial_map(spark, d), labelled(spark, d)
+    mapping = partial_map(spark, d)
+    rows = rows_of(mapping)
     looked = labels.lookup_label_idx(rows, mapping, "hadm_id")
     stats = labels.encoding_stats(labels.encode_labels(rows, mapping), looked, _TOP)
     return stats.withColumns({c: F.round(c, 9) for c in ("density", "labels_per_row", "unknown_rate")})
@@ -484,7 +502,8 @@ def q_encoding_samples(spark, d):
     sql("SELECT code, count(*) AS n FROM pairs WHERE code NOT IN (SELECT code FROM pmap) GROUP BY code ORDER BY n DESC, code LIMIT 50", _PMAP),
 )
 def q_unknown_codes_top(spark, d):
-    return labels.unknown_codes_top(labels.lookup_label_idx(labelled(spark, d), partial_map(spark, d), "hadm_id"))
+    mapping = partial_map(spark, d)
+    return labels.unknown_codes_top(labels.lookup_label_idx(rows_of(mapping), mapping, "hadm_id"))
 
 
 # --- Counts and reports -------------------------------------------------------

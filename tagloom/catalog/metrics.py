@@ -42,7 +42,7 @@ def scored(spark: SparkSession, d: str, mapping: DataFrame) -> DataFrame:
 
 
 def chunk_scores(spark: SparkSession, d: str, mapping: DataFrame) -> DataFrame:
-    rows = base.labelled(spark, d).select("hadm_id").withColumn("__codes", _codes(mapping))
+    rows = base.rows_of(mapping).select("hadm_id").withColumn("__codes", _codes(mapping))
     chunks = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.lit(2))))
     score = F.transform("__codes", lambda code, i: unit_hash(F.col("hadm_id"), F.col("chunk_no"), code).cast("float"))
     return chunks.select("hadm_id", "chunk_no", score.alias("scores"))

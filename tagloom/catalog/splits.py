@@ -142,8 +142,8 @@ PICKS = ("picks", _PICKS)
 
 
 def _labelled_splits(spark, d):
-    rows = cut_lineage(base.labelled(spark, d))
     mapping = base.label_map(spark, d)
+    rows = base.rows_of(mapping)
     assignment = subject_split(spark, d, labels.encode_labels(rows, mapping))
     return cut_lineage(split.assign_splits(rows, assignment))
 

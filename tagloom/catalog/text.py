@@ -43,7 +43,7 @@ LEN, OVER, SPECIAL = 64, 16, 2
 
 
 def tokens(spark, d):
-    return text.tokenize(fx.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "tokens")
+    return text.tokenize(fx.documents(spark, d)).select("doc_id", "tokens")
 
 
 def vocab(spark, d):

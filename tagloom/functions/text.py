@@ -110,13 +110,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"))
 
 
-def characters(text: Column) -> Column:
-    """Characters of a text; runs of two or more blanks count as one space.
+def collapse_blanks(text: Column) -> Column:
+    """Runs of two or more blanks count as one space."""
+    return F.regexp_replace(text, r"(?U)\s\s+", " ")
 
-    Split once, so that grams are built by position: ``substring`` would walk
-    the whole UTF-8 text for every gram.
+
+def wide_characters(text: Column) -> Column:
+    """Characters of a text outside the basic plane; null for every other text."""
+    wide = text.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.when(wide, F.filter(F.split(text, ""), lambda c: c != ""))
+
+
+def char_ngrams(text: str, wide: str, low: int, high: int) -> Column:
+    """All character n-grams of a text *column*.
+
+    A zero-width look-ahead yields every start in one pass of compiled code
+    (``substring`` would walk the UTF-8 text for every gram). Java steps by
+    16-bit units, so texts with wider characters take the list form.
     """
-    return F.filter(F.split(F.regexp_replace(text, r"(?U)\s\s+", " "), ""), lambda c: c != "")
+    quick = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))")) for n in range(low, high + 1)])
+    return F.when(F.col(wide).isNull(), quick).otherwise(ngrams(wide, low, high, ""))
 
 
 def ngrams(items: str, low: int, high: int, sep: str) -> Column:
@@ -130,6 +143,13 @@ def ngrams(items: str, low: int, high: int, sep: str) -> Column:
     def of_size(n: int) -> Column:
         last = F.size(items) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(sep, *[F.get(items, i + k) for k in range(n)]))
+
+        def gram(i: Column) -> Column:
+            parts = [F.get(items, i)]
+            for k in range(1, n):
+                parts += [F.lit(sep), F.get(items, i + k)] if sep else [F.get(items, i + k)]
+            return F.concat(*parts)
+
+        return F.transform(starts, gram)
 
     return F.concat(*[F.col(items) if n == 1 else of_size(n) for n in range(low, high + 1)])

@@ -67,10 +67,19 @@ def _clean(text: Column, config: TfidfConfig) -> Column:
 def _gram_lists(df: DataFrame, blocks: dict, config: TfidfConfig, *keep: str) -> DataFrame:
     """keep, __g<block>: all grams of ``__text`` per block (row-local)."""
     folded = df.select(*keep, _clean(F.col("__text"), config).alias("__text"))
-    split = {WORD: fx.words, CHAR: fx.characters}
-    items = folded.select(*keep, *[split[b](F.col("__text")).alias(f"__i{b}") for b in blocks])
-    sep = {WORD: " ", CHAR: ""}
-    return items.select(*keep, *[fx.ngrams(f"__i{b}", *ngram, sep[b]).alias(f"__g{b}") for b, (ngram, _) in blocks.items()])
+    stored = {}
+    if WORD in blocks:
+        stored["__words"] = fx.words(F.col("__text"))
+    if CHAR in blocks:
+        stored["__chars"] = fx.collapse_blanks(F.col("__text"))
+    items = folded.select(*keep, *[c.alias(name) for name, c in stored.items()])
+    if CHAR in blocks:
+        items = items.withColumn("__wide", fx.wide_characters(F.col("__chars")))
+    grams = {
+        b: fx.ngrams("__words", *ngram, " ") if b == WORD else fx.char_ngrams("__chars", "__wide", *ngram)
+        for b, (ngram, _) in blocks.items()
+    }
+    return items.select(*keep, *[g.alias(f"__g{b}") for b, g in grams.items()])
 
 
 def fit_tfidf(df: DataFrame, config: TfidfConfig = TfidfConfig(), text: str = "text") -> TfidfModel:
