@@ -36,7 +36,7 @@ def codes(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """One code per line item; repeats within an admission are kept."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     code = F.concat("p_type", F.lit("."), "p_brand") if wide else F.col("p_brand")
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
     return line.join(part, F.col("p_partkey") == F.col("l_partkey")).select(
         F.col("l_orderkey").alias("hadm_id"), code.alias("code")
     )

@@ -20,29 +20,21 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 _LATIN = range(0x00C0, 0x0250)
 
 
-def _char_class(code_points: list[int]) -> str:
-    """Sorted code points as regex ranges (a long list of single ones is slow)."""
-    starts = [cp for cp in code_points if cp - 1 not in code_points]
-    ends = [cp for cp in code_points if cp + 1 not in code_points]
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends))
-
-
 def _folded(cp: int) -> str:
     parts = unicodedata.normalize("NFKD", chr(cp))
     return "".join(c for c in parts if not unicodedata.combining(c))
 
 
-# Latin letters a normalisation leaves alone; any other non-ASCII character
-# sends its row to the Python function.
-_NFKC_STABLE = [cp for cp in _LATIN if unicodedata.normalize("NFKC", chr(cp)) == chr(cp)]
+# Latin letters with a one-letter fold, by rule.
 _FOLD = {chr(cp): _folded(cp) for cp in _LATIN if len(_folded(cp)) == 1}
 _FOLD_FROM = "".join(k for k, v in _FOLD.items() if k != v)
 _FOLD_TO = "".join(v for k, v in _FOLD.items() if k != v)
-_FOLD_STABLE = [cp for cp in _LATIN if _folded(cp) == chr(cp)]
-
-_NEEDS_NFKC = rf"[^\x00-\x7F{_char_class(_NFKC_STABLE)}]"
-_NEEDS_FOLD = rf"[^\x00-\x7F{_char_class(_FOLD_STABLE)}]"
 
+# Characters that may change and send their row to the Python function. Few
+# ranges on purpose: a class of many ranges costs more than the work it saves.
+_NEEDS_NFKC = r"[\x80-\xBF\x{132}-\x{133}\x{13F}-\x{140}\x{149}\x{17F}-\x{10FFFF}]"
+# After the table above, Latin-1 letters that are left have no fold.
+_NEEDS_FOLD = r"[\x80-\xBF\x{100}-\x{10FFFF}]"
 
 # The functions are built inside functions, so that they travel to the workers
 # by value and the package need not be installed there.
@@ -69,7 +61,8 @@ def _strip_marks(col: Column) -> Column:
 
 def _only_where(col: Column, pattern: str, fn) -> Column:
     """Apply a pandas UDF to the rows that match; the others pass null through it."""
-    return F.coalesce(fn(F.when(col.rlike(pattern), col)), col)
+    not_ascii = F.octet_length(col) > F.length(col)
+    return F.coalesce(fn(F.when(not_ascii & col.rlike(pattern), col)), col)
 
 
 def nfkc(col: Column) -> Column:
