@@ -59,9 +59,10 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "toke
     cut = F.slice(F.col(tokens), 1, max_len) if max_len is not None else F.col(tokens)
     filled = F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit(fx.UNK)))
     flat = df.select(key, F.posexplode(filled).alias("pos", "token"))
-    coded = flat.join(broadcast_if_small(vocab), "token", "left").select(key, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
-    packed = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return coded.groupBy(key).agg(F.transform(packed, lambda e: e["id"]).alias(name))
+    known = broadcast_if_small(vocab.select("token", F.col("id").alias("__id")))
+    coded = flat.join(known, "token", "left").select(key, "pos", F.coalesce("__id", F.lit(UNK_ID)).alias("__id"))
+    packed = F.array_sort(F.collect_list(F.struct("pos", "__id")))
+    return coded.groupBy(key).agg(F.transform(packed, lambda e: e["__id"]).alias(name))
 
 
 def decode_tokens(df: DataFrame, vocab: DataFrame, ids: str = "ids", name: str = "tokens") -> DataFrame:
