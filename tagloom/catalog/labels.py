@@ -13,7 +13,7 @@ from tagloom.functions import cleaning as cfx
 from tagloom.functions import paths as px
 from tagloom.operators import cleaning, labels, merge
 from tagloom.plans import dataset
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, store_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,7 +64,7 @@ _ROWS: WeakKeyDictionary = WeakKeyDictionary()
 
 def label_map(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     """Label map of the merged rows; both are stored, since later steps read them again."""
-    rows = cut_lineage(labelled(spark, d))
+    rows = store_table(labelled(spark, d))
     mapping, _ = dataset.label_space(rows, k)
     _ROWS[mapping] = rows
     return mapping

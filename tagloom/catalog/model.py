@@ -12,7 +12,7 @@ from tagloom.catalog import metrics as met
 from tagloom.catalog.fixtures import sql
 from tagloom.functions.hashing import unit_hash
 from tagloom.operators import explain, features, labels, merge, metrics, model
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, store_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,7 +89,7 @@ def q_top_tokens(spark, d):
 
 def training_rows(spark, d, mapping):
     """Word features and label indices of the merged admissions."""
-    merged = cut_lineage(base.merged(spark, d))
+    merged = store_table(base.merged(spark, d))
     encoded = labels.encode_labels(merged.select("hadm_id", "labels"), mapping)
     tfidf = features.fit_tfidf(merged, feat._only("word"))
     return tfidf, tfidf.transform(merged, "hadm_id").join(encoded, "hadm_id")

@@ -14,7 +14,7 @@ from tagloom.catalog.fixtures import CATEGORY, sql
 from tagloom.catalog.labels import JOIN, joined
 from tagloom.operators import features, labels, metrics, split
 from tagloom.plans import dataset, evaluation, explaining, training
-from tagloom.session import cut_lineage, scratch_path
+from tagloom.session import scratch_path, store_table
 from tagloom.sources import readers, writers
 
 QUERIES: dict = {}
@@ -181,7 +181,7 @@ def q_prepare_dataset(spark, d):
 @query("prepare_split", sql(f"SELECT subject_id, hadm_id, md5(text) AS text_md5, {JOIN.format('labels_idx')} FROM enc JOIN merged USING (subject_id, hadm_id)"))
 def q_prepare_split(spark, d):
     path = scratch_path(spark, "split-jsonl")
-    rows = cut_lineage(base.merged(spark, d))
+    rows = store_table(base.merged(spark, d))
     writers.write_jsonl(rows, path)
     mapping, _ = dataset.label_space(rows)
     return dataset.prepare_split(spark, path, mapping).select("subject_id", "hadm_id", _md5(), joined("labels_idx"))
@@ -194,7 +194,7 @@ def q_prepare_split(spark, d):
     FROM conf WHERE tau = (SELECT tau FROM best))""", met.SCORES, met.GRID, met.CONF, met.BEST))
 def q_evaluate_and_save(spark, d):
     mapping = base.label_map(spark, d)
-    rows = cut_lineage(met.scored(spark, d, mapping))
+    rows = store_table(met.scored(spark, d, mapping))
     thresholds, table = scratch_path(spark, "thresholds"), scratch_path(spark, "metrics")
     evaluation.evaluate_and_save(rows, mapping, "hash", "val", thresholds, table, "global_val")
     evaluation.evaluate_and_save(rows, mapping, "hash", "test", thresholds, table, "use_saved")
@@ -217,10 +217,10 @@ def q_evaluate_chunked(spark, d):
 
 
 def _training_splits(spark, d):
-    merged = cut_lineage(base.merged(spark, d))
+    merged = store_table(base.merged(spark, d))
     mapping, _ = dataset.label_space(merged)
-    encoded = cut_lineage(labels.encode_labels(merged, mapping))
-    placed = cut_lineage(split.assign_splits(encoded, split.split_subject_stratified(encoded, spl.SEED)))
+    encoded = store_table(labels.encode_labels(merged, mapping))
+    placed = store_table(split.assign_splits(encoded, split.split_subject_stratified(encoded, spl.SEED)))
     return mapping, {name: placed.filter(F.col("split") == name) for name in labels.SPLITS}
 
 

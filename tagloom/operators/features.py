@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tagloom.functions import text as fx
 from tagloom.operators.rank import global_rank
-from tagloom.session import broadcast_if_small, cut_lineage
+from tagloom.session import broadcast_if_small, cut_lineage, store_table
 
 WORD, CHAR, NO_BLOCK = 0, 1, -1
 FORMAT_VERSION = 1
@@ -111,7 +111,7 @@ def fit_tfidf(df: DataFrame, config: TfidfConfig = TfidfConfig(), text: str = "t
     )
     lowest = config.min_df * n_docs if isinstance(config.min_df, float) else config.min_df
     # Both caps read these counts, and so do the ranks: store them once.
-    frequent = cut_lineage(counts.filter(F.col("df") >= lowest))
+    frequent = store_table(counts.filter(F.col("df") >= lowest), "terms")
     kept = None
     for block, (_, cap) in blocks.items():
         best = frequent.filter(F.col("block") == block).orderBy(F.desc("n"), "term").limit(cap)

@@ -74,7 +74,7 @@ def apply_thresholds(scored: DataFrame, tau: float | DataFrame, name: str = "pre
 
 def join_thresholds(long_scores: DataFrame, taus: DataFrame) -> DataFrame:
     """Long-form scores (.., idx, score) with their label's threshold and decision."""
-    return long_scores.join(F.broadcast(taus.select("idx", "tau")), "idx").withColumn(
+    return long_scores.join(taus.select("idx", "tau"), "idx").withColumn(
         "pred", (F.col("score").cast("float") >= F.col("tau").cast("float")).cast("int")
     )
 

@@ -15,7 +15,7 @@ from tagloom.functions.hashing import seeded_key
 from tagloom.operators.labels import align_counts, js_divergence, label_counts_by_code, split_divergence, subject_label_union
 from tagloom.operators.merge import sample_keys, semi_join
 from tagloom.operators.rank import global_rank
-from tagloom.session import cut_lineage
+from tagloom.session import store_table
 
 # Default fractions, trials, and sizes of the small splits.
 VAL_FRACTION = 0.15
@@ -112,7 +112,7 @@ def split_subject_stratified(
     """(subject, split) of the trial whose worst split is closest to the whole."""
     units = subject_label_union(encoded, subject=subject)
     # The assignments feed both the choice of the trial and the result.
-    assigned = cut_lineage(stratified_trials(units, subject, seed, val_frac, test_frac, trials))
+    assigned = store_table(stratified_trials(units, subject, seed, val_frac, test_frac, trials))
     return assigned.filter(F.col("trial") == best_trial(trial_scores(assigned))).select(subject, "split")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators import metrics
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, store_table
 from tagloom.sources.readers import load_thresholds
 from tagloom.sources.writers import append_metrics, save_thresholds, write_doc_predictions
 
@@ -72,7 +72,7 @@ def evaluate_chunked(
 ) -> DataFrame:
     """Chunk scores → document scores → evaluation; test uses saved thresholds."""
     scored = metrics.aggregate_chunk_scores(chunk_scores, key, how).join(docs.select(key, "labels_idx"), key)
-    scored = cut_lineage(scored)
+    scored = store_table(scored)
     if predictions_path is not None:
         write_doc_predictions(scored, predictions_path, label_map.count(), chunk_scores, key)
     policy = "use_saved" if split == "test" else policy

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tagloom.operators import explain, features, metrics, model, split
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, store_table
 
 
 def explain_split(
@@ -18,7 +18,7 @@ def explain_split(
     ``docs`` has subject_id, the key, text and labels_idx.
     """
     sample = cut_lineage(split.sample_examples(docs, n_docs, seed, key))
-    vectors = cut_lineage(tfidf.transform(sample, key))
+    vectors = store_table(tfidf.transform(sample, key))
     scored = linear.predict(vectors, key).join(sample.select(key, "subject_id", "labels_idx"), key)
     predicted = metrics.apply_thresholds(scored, tau)
     found = cut_lineage(explain.explain_candidates(predicted, ["subject_id", key], n_labels))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tagloom.operators import features, model
 from tagloom.plans.dataset import prepare_split
 from tagloom.plans.evaluation import evaluate_and_save
-from tagloom.session import cut_lineage
+from tagloom.session import store_table
 
 
 def train_linear(
@@ -23,7 +23,7 @@ def train_linear(
 ) -> dict[str, DataFrame]:
     """``splits`` hold key, text, labels_idx. Returns a metrics row per evaluated split."""
     tfidf, vectors = features.fit_transform_splits(splits, key, config)
-    joined = {name: cut_lineage(v.join(splits[name].select(key, "labels_idx"), key)) for name, v in vectors.items()}
+    joined = {name: store_table(v.join(splits[name].select(key, "labels_idx"), key)) for name, v in vectors.items()}
     fitted = model.fit_ovr_logreg(joined["train"], label_map, tfidf.n_features, **fit_options)
     features.save_features(tfidf, f"{path}/{run_name}/features")
     model.save_model(fitted, f"{path}/{run_name}/model")
@@ -31,7 +31,7 @@ def train_linear(
     for name in ("val", "test"):
         if name not in joined:
             continue
-        scored = cut_lineage(fitted.predict(joined[name], key).join(joined[name].select(key, "labels_idx"), key))
+        scored = store_table(fitted.predict(joined[name], key).join(joined[name].select(key, "labels_idx"), key))
         chosen = policy if name == "val" else ("fixed" if policy == "fixed" else "use_saved")
         out[name] = evaluate_and_save(
             scored, label_map, run_name, name, f"{path}/{run_name}/thresholds", f"{path}/metrics", chosen, min_pos=min_pos
