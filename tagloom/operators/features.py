@@ -171,7 +171,8 @@ def fit_transform_splits(
 def long_features(features: DataFrame, *keys: str) -> DataFrame:
     """(keys, feature_id, value), one row per non-zero."""
     pairs = F.arrays_zip(F.col("feature_ids").alias("feature_id"), F.col("feature_values").alias("value"))
-    return features.select(*keys, F.explode(pairs).alias("e")).select(*keys, "e.feature_id", "e.value")
+    flat = features.select(*keys, F.explode_outer(pairs).alias("e")).select(*keys, "e.feature_id", "e.value")
+    return flat.filter(F.col("feature_id").isNotNull())
 
 
 def to_vectors(features: DataFrame, size: int, name: str = "features") -> DataFrame:

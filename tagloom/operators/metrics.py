@@ -80,8 +80,12 @@ def join_thresholds(long_scores: DataFrame, taus: DataFrame) -> DataFrame:
 
 
 def long_form(scored: DataFrame, *keys: str) -> DataFrame:
-    """(keys, idx, y, score) with one row per label."""
-    flat = scored.select(*keys, "labels_idx", F.posexplode("scores").alias("idx", "score"))
+    """(keys, idx, y, score) with one row per label.
+
+    The outer form avoids an inferred filter that would compute the scores twice.
+    """
+    exploded = scored.select(*keys, "labels_idx", F.posexplode_outer("scores").alias("idx", "score"))
+    flat = exploded.filter(F.col("idx").isNotNull())
     return flat.select(*keys, "idx", F.array_contains("labels_idx", F.col("idx")).cast("int").alias("y"), "score")
 
 
@@ -232,7 +236,7 @@ def aggregate_chunk_scores(chunks: DataFrame, key: str = "hadm_id", how: str = "
     if how not in {"max", "mean"}:
         raise ValueError(f"unknown aggregation: {how}")
     combine = F.max("score") if how == "max" else F.avg(F.col("score").cast("double")).cast("float")
-    cells = chunks.select(key, F.posexplode("scores").alias("idx", "score"))
+    cells = chunks.select(key, F.posexplode_outer("scores").alias("idx", "score")).filter(F.col("idx").isNotNull())
     per_label = cells.groupBy(key, "idx").agg(combine.alias("score"))
     packed = F.array_sort(F.collect_list(F.struct("idx", "score")))
     return per_label.groupBy(key).agg(F.transform(packed, lambda e: e["score"]).alias("scores"))

@@ -20,8 +20,13 @@ def tokenize(df: DataFrame, text: str = "text", name: str = "tokens", anonymize_
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Occurrences per token; a token in every text is summed map-side first."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences per token; a token in every text is summed map-side first.
+
+    The outer form keeps Spark from inferring a "list is not empty" filter,
+    which it would push below the tokenizer and so tokenize three times.
+    """
+    flat = df.select(F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
+    return flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = VOCAB_MAX, min_freq: int = VOCAB_MIN_FREQ) -> DataFrame:
@@ -58,7 +63,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "toke
     """
     cut = F.slice(F.col(tokens), 1, max_len) if max_len is not None else F.col(tokens)
     filled = F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit(fx.UNK)))
-    flat = df.select(key, F.posexplode(filled).alias("pos", "token"))
+    flat = df.select(key, F.posexplode_outer(filled).alias("pos", "token"))
     known = broadcast_if_small(vocab.select("token", F.col("id").alias("__id")))
     coded = flat.join(known, "token", "left").select(key, "pos", F.coalesce("__id", F.lit(UNK_ID)).alias("__id"))
     packed = F.array_sort(F.collect_list(F.struct("pos", "__id")))
