@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import packing, tokens
-from tagloom.llm.common import table
+from tagloom.llm import langid, packing, tokens, toxicity
+from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
 QUERIES: dict = {}
@@ -32,3 +32,34 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     pieces = store_table(packing.token_pieces(table(spark, d, "documents"), BPE_RANKS), "pieces")
     return packing.pack(pieces)
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    return langid.fit(docs.where(id_fold("doc_id", 4) != 2))
+
+
+@query
+def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the ids."""
+    docs = table(spark, d, "documents")
+    found = langid.identify(docs, language_model(docs.select("doc_id", "text", "lang")), keep=["doc_id"])
+    held_out = F.coalesce(id_fold("doc_id", 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    return toxicity.fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), id_fold("doc_id", 3) != 1)
+
+
+TOXIC_FROM = 0.7
+
+
+@query
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document and its offending sentences."""
+    docs = table(spark, d, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, table(spark, d, "labels")), keep=["doc_id"])
+    held_out = F.coalesce(id_fold("doc_id", 3) == 1, F.lit(False))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        "sentences", "offending")
