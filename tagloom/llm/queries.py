@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import langid, packing, tokens, toxicity
+from tagloom.llm import langid, packing, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -63,3 +63,15 @@ def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return found.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
         "sentences", "offending")
+
+
+URL_RULES = [
+    urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"),
+    urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/"),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(table(spark, d, "pages"), URL_RULES)
