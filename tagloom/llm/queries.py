@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import langid, packing, tokens, toxicity, urls
+from tagloom.llm import langid, packing, quality, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -75,3 +75,11 @@ URL_RULES = [
 def op7_url_filter(spark: SparkSession, d: str) -> DataFrame:
     """Verdict on every page's url."""
     return urls.judge(table(spark, d, "pages"), URL_RULES)
+
+
+@query
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Base counts of every document and the verdict of rules learned from quality labels."""
+    counted = store_table(quality.statistics(table(spark, d, "documents"), ["doc_id"]), "quality-counts")
+    labels = table(spark, d, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return quality.decide(counted, quality.learn(counted.join(labels, "doc_id")))
