@@ -120,7 +120,7 @@ def verdict(rules: list[Rule], values: dict[str, Column] | None = None) -> Colum
 
 def learn(
     labelled: DataFrame, good: str = "quality", key: str = "doc_id", cuts: int = 24, max_rules: int = 6,
-    max_conditions: int = 3, least_precision: float = 0.75, least_bad: int = 5,
+    max_conditions: int = 3, least_precision: float = 0.75, least_bad: int = 3,
 ) -> list[Rule]:
     """An ordered list of rules that mark bad texts (``good`` = 0) from labelled base counts.
 

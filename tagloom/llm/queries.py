@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import langid, packing, quality, tokens, toxicity, urls
+from tagloom.llm import fingerprints, langid, packing, quality, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -83,3 +83,12 @@ def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     counted = store_table(quality.statistics(table(spark, d, "documents"), ["doc_id"]), "quality-counts")
     labels = table(spark, d, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return quality.decide(counted, quality.learn(counted.join(labels, "doc_id")))
+
+
+@query
+def op8_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    found = fingerprints.edited_fingerprints(table(spark, d, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
