@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import fingerprints, langid, packing, quality, tokens, toxicity, urls
+from tagloom.llm import fingerprints, langid, neardup, packing, quality, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -92,3 +92,9 @@ def op8_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return neardup.near_duplicates(table(spark, d, "documents"))
