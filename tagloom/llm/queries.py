@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import fingerprints, langid, neardup, packing, quality, tokens, toxicity, urls
+from tagloom.llm import fingerprints, langid, neardup, packing, pieces, quality, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -30,8 +30,8 @@ def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    pieces = store_table(packing.token_pieces(table(spark, d, "documents"), BPE_RANKS), "pieces")
-    return packing.pack(pieces)
+    cut = store_table(packing.token_pieces(table(spark, d, "documents"), BPE_RANKS), "pieces")
+    return packing.pack(cut)
 
 
 def language_model(docs: DataFrame) -> langid.LanguageModel:
@@ -98,3 +98,15 @@ def op8_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return neardup.near_duplicates(table(spark, d, "documents"))
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every document, and whether decoding them gives its text back."""
+    encoded = pieces.encode(table(spark, d, "documents"), PIECES, keep=["doc_id", "text"])
+    back = encoded.withColumn("back", pieces.decoded(F.col("ids"), PIECES))
+    plain = F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.col("back") == plain).alias("restored"))
