@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import fingerprints, langid, neardup, packing, pieces, quality, tokens, toxicity, urls
+from tagloom.llm import fingerprints, langid, neardup, packing, pieces, quality, quotes, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -110,3 +110,21 @@ def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     back = encoded.withColumn("back", pieces.decoded(F.col("ids"), PIECES))
     plain = F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
     return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.col("back") == plain).alias("restored"))
+
+
+@query
+def op2_quote_linking(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations, sent as messages that quote two turns back, put together again."""
+    return quotes.conversations(quotes.with_quotes(table(spark, d, "conversations")))
+
+
+ORACLES["op2_quote_linking"] = """
+WITH m AS (SELECT conv_id, turn, role, text, min(turn) OVER (
+        PARTITION BY conv_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS source FROM conversations),
+p AS (SELECT m.conv_id, m.turn, m.role, m.text, b.source AS b1, c.source AS b2
+    FROM m LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1
+    LEFT JOIN m c ON c.conv_id = m.conv_id AND c.turn = m.turn - 2),
+t AS (SELECT p.conv_id, p.turn, p.role, p.text, p.b1 AS parent_turn,
+    (p.b1 IS NOT NULL)::BIGINT + (p.b2 IS NOT NULL)::BIGINT AS n FROM p)
+SELECT conv_id, turn, role, parent_turn, 0::BIGINT AS root_turn, turn::INTEGER AS depth, n AS quotes, n AS linked,
+    turn::INTEGER AS position, trim(text, ' ' || chr(10) || chr(9)) AS text FROM t"""
