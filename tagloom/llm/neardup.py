@@ -7,9 +7,10 @@
    another for each band, is the pivot and the rest are compared with it; a
    hot bucket costs one comparison per member.
 3. Comparisons are exact (weighted Jaccard on whole texts); links make classes.
-4. A bucket that still holds several classes is not settled: a small one has its
-   members of different classes compared, a large one is split by a second band
-   and goes through 2 and 3 again. No bucket is dropped or cut.
+4. A bucket that still holds several classes is not settled. If few of its members
+   are outside its largest class, these are compared with all of other classes.
+   If many are, the bucket is split by a second band and goes through 2 and 3
+   again. No bucket is dropped or cut.
 """
 
 from __future__ import annotations
@@ -29,9 +30,13 @@ from tagloom.session import broadcast_if_small, store_table
 
 THRESHOLD = 0.8
 WIDTH = 5
-# Members of different classes in an unsettled bucket of at most this size are
-# compared with each other: a bounded number of partners for each.
-SMALL_BUCKET = 48
+# An unsettled bucket with at most so many members outside its largest class has
+# them compared with the rest: a bounded number of partners for each member.
+FEW = 48
+# Splitting a bucket by one more band leaves 31 * s^7 of its rows for texts of
+# similarity s, fewer with each level for s below 0.6. What is left after so many
+# levels is compared in full.
+LEVELS = 3
 _CELLS = 200_000
 
 
@@ -109,7 +114,7 @@ def _star(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, darts: Darts | None = None,
-    small: int = SMALL_BUCKET, key: str = "doc_id", text: str = "text",
+    few: int = FEW, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs`` with a key: ``key``, ``class_id`` and ``links``.
 
@@ -129,35 +134,41 @@ def near_duplicates(
     reps = store_table(
         first.select("content", "copies", F.col("r.key").alias("key"), F.col("r.weight").alias("weight"), F.col("r.bands").alias("bands")),
         "representatives")
-    members = reps.select("key", "weight", F.explode("bands").alias("bucket"))
+    members = reps.select("key", "weight", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
     members = store_table(members.join(shared, "bucket", "left_semi"), "buckets")
     links = done = labels = None
-    level = 0
-    while True:
+    for level in range(LEVELS + 1):
         pairs = _star(members, threshold)
         pairs = store_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         links, done, labels = _add(pairs, links, done, labels, docs, threshold, width, key, text)
-        placed = members.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        placed = store_table(placed, "placed")
-        state = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        state = store_table(state.where(F.col("lo") != F.col("hi")).select("bucket", "n"), "unsettled")
-        large = state.where(F.col("n") > small).select("bucket")
-        last = level + 1 >= darts.bands or large.isEmpty()
-        rest = placed.join(state.select("bucket") if last else state.where(F.col("n") <= small).select("bucket"), "bucket", "left_semi")
-        other = rest.select("bucket", F.col("key").alias("key2"), F.col("weight").alias("weight2"), F.col("root").alias("root2"))
+        placed = store_table(
+            members.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")),
+            "placed")
+        state = (
+            placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+            .agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
+            .where(F.col("classes") > 1)
+            .select("bucket", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("outside"))
+        )
+        state = store_table(state, "unsettled")
+        many = F.col("outside") > few if level < LEVELS else F.lit(False)
+        rest = placed.join(state.where(~many), "bucket").select("bucket", "key", "weight", "root", "main")
+        outside = rest.where(F.col("root") != F.col("main")).select(
+            "bucket", F.col("key").alias("key2"), F.col("weight").alias("weight2"), F.col("root").alias("root2"))
         apart = (
-            rest.join(other, "bucket")
-            .where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _near_weight(threshold, "weight", "weight2"))
-            .select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+            rest.join(outside, "bucket").where((F.col("root") != F.col("root2")) & _near_weight(threshold, "weight", "weight2"))
+            .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         )
         links, done, labels = _add(store_table(apart, "pairs"), links, done, labels, docs, threshold, width, key, text)
-        if last:
+        large = state.where(many).select("bucket")
+        if level == LEVELS or large.isEmpty():
             break
-        split = placed.join(large, "bucket", "left_semi").select("bucket", "key", "weight").join(reps.select("key", "bands"), "key")
-        finer = split.select("key", "weight", F.col("bucket").alias("b0"), F.explode("bands").alias("b1")).where(F.col("b0") != F.col("b1"))
-        members = store_table(finer.select("key", "weight", F.xxhash64("b0", "b1").alias("bucket")).distinct(), "buckets")
-        level += 1
+        split = placed.join(large, "bucket", "left_semi").select("bucket", "band", "key", "weight").join(reps.select("key", "bands"), "key")
+        finer = split.select("key", "weight", "band", F.col("bucket").alias("first"), F.posexplode("bands").alias("band2", "second"))
+        members = store_table(
+            finer.where(F.col("band2") > F.col("band")).select(
+                "key", "weight", F.col("band2").alias("band"), F.xxhash64("first", "second").alias("bucket")), "buckets")
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     classes = (
         reps.select("content", "copies", "key")
