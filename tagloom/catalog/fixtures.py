@@ -95,4 +95,4 @@ def sql(body: str, *extra: tuple[str, str]) -> str:
     visit(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{name} AS ({steps[name]})" for name in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({steps[name]})" for name in order) + "\n" + body

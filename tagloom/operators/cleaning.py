@@ -106,8 +106,8 @@ def sanitize_path_columns(df: DataFrame, root: str) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
-def absolute_violations(df: DataFrame, payload: str | None = None, payload_rows: int = 50) -> DataFrame:
-    """One row counting absolute-looking values per path column and in payloads."""
+def absolute_violations(df: DataFrame, payload: str | None = None, payload_rows: int | None = None) -> DataFrame:
+    """One row counting absolute-looking values per path column, or in all payloads (a sample on request)."""
     strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     counts = [
         F.count_if(px.looks_absolute(F.col(c))).alias(c)
@@ -117,11 +117,11 @@ def absolute_violations(df: DataFrame, payload: str | None = None, payload_rows:
     if payload is None:
         return df.agg(*counts) if counts else df.sparkSession.range(1).select(F.lit(0).alias("none"))
     text = F.lower(fx.strip(F.col(payload).cast("string")))
-    head = df.limit(payload_rows)
+    head = df if payload_rows is None else df.limit(payload_rows)
     return head.agg(F.count_if(text.rlike("(?s)" + px.ABSOLUTE_PAYLOAD)).alias(payload))
 
 
-def assert_no_absolute(df: DataFrame, payload: str | None = None, payload_rows: int = 50) -> None:
+def assert_no_absolute(df: DataFrame, payload: str | None = None, payload_rows: int | None = None) -> None:
     """Fail when absolute paths are left; returns nothing when all is well."""
     checks = [absolute_violations(df)]
     if payload is not None:
@@ -157,12 +157,13 @@ def invariant_violations(
     """One row of violation counts for a merged table (all zero = sound).
 
     The key check counts rows per key first, so a hot key is one partially
-    aggregated group and never a list.
+    aggregated group and never a list. Later parts of a text carry no labels.
     """
+    first_part = F.col("part") == 0 if "part" in df.columns else F.lit(True)
     base = df.agg(
         F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("empty_table"),
         F.count_if(F.coalesce(F.length(text), F.lit(0)) < 1).alias("empty_texts"),
-        F.count_if(F.coalesce(F.size(labels), F.lit(0)) < 1).alias("empty_label_lists"),
+        F.count_if((F.coalesce(F.size(labels), F.lit(0)) < 1) & first_part).alias("empty_label_lists"),
     )
     if unique_key is None:
         return base.withColumn("duplicate_keys", F.lit(0).cast("bigint"))

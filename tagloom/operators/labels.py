@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.cleaning import normalize_label_list, strip
 from tagloom.operators.cleaning import DataCheckError
 from tagloom.operators.rank import global_rank
-from tagloom.session import broadcast_if_small
+from tagloom.session import bounded_dict, broadcast_if_small
 
 # Report sizes and defaults of the label-space step.
 COVERAGE_GRID = [50, 100, 200, 400, 600, 800, 1000]
@@ -130,14 +131,20 @@ def lookup_label_idx(df: DataFrame, label_map: DataFrame, key: str, labels: str
 
 
 def encode_labels(df: DataFrame, label_map: DataFrame, key: str = "hadm_id", labels: str = "labels") -> DataFrame:
-    """Replace labels by sorted distinct known indices; rows without any keep ``[]``."""
-    known = lookup_label_idx(df, label_map, key, labels).filter("idx is not null")
-    lists = known.groupBy(key).agg(F.array_sort(F.collect_set("idx")).alias("labels_idx"))
+    """Replace labels by sorted distinct known indices; rows without any keep ``[]``.
+
+    The lookup stays inside the row: no key is needed, rows that share one or
+    have none keep their own labels, and nothing is shuffled.
+    """
+    index = bounded_dict(label_map, "code", "idx")
+
+    @F.pandas_udf("array<int>")
+    def known(codes: pd.Series) -> pd.Series:
+        get = index.get
+        return pd.Series([[] if c is None else sorted({i for i in map(get, c) if i is not None}) for c in codes], dtype=object)
+
     kept = [c for c in df.columns if c != labels]
-    empty = F.array().cast("array<int>")
-    return df.select(*kept).join(lists, key, "left").select(
-        *kept, F.coalesce("labels_idx", empty).alias("labels_idx")
-    )
+    return df.select(*kept, known(normalize_label_list(F.col(labels))).alias("labels_idx"))
 
 
 def unknown_codes_top(looked_up: DataFrame, n: int = UNKNOWN_REPORT_ROWS) -> DataFrame:

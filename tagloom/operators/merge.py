@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.hashing import seeded_key
 from tagloom.operators.cleaning import require_rows
+from tagloom.operators.rank import global_rank
 
 NOTE_SEPARATOR = "\n\n"
 # A concatenated text longer than this is kept in ordered parts (Spark cells
 # end at 2 GiB); nothing is cut off.
 MAX_CELL_CHARS = 1 << 28
-PART_NOTES = 4096
 
 
 def dedupe_keep_longest(df: DataFrame, key: str = "hadm_id", note: str = "note_id") -> DataFrame:
@@ -35,19 +35,27 @@ def dedupe_concat(
 
     A group whose whole text would exceed ``max_cell_chars`` is kept as several
     rows: ``part`` 0, 1, ... in order, to be joined with ``sep``. Every other
-    group is the single row ``part = 0``. Only the (few) oversized group keys,
-    at most total characters / ``max_cell_chars``, meet the notes in the join.
+    group is the single row ``part = 0``. Parts are cut by a running sum of
+    lengths: a note belongs to the part in whose range it starts, so a part
+    exceeds the limit by its last note at most. Only ids and lengths of the
+    (few) oversized groups are ranked; only they meet the notes in the join.
     """
     keys = ["subject_id", "hadm_id"]
-    width = F.sum(F.length("text") + F.lit(len(sep)))
-    oversized = (
-        df.groupBy(*keys).agg(width.alias("__chars")).filter(F.col("__chars") > max_cell_chars)
-        .select(*keys, F.lit(True).alias("__big"))
-    )
-    parts = df.join(oversized, keys, "left").withColumn(
-        "__block", F.when(F.col("__big"), F.floor(F.col(note) / PART_NOTES)).otherwise(F.lit(0).cast("bigint"))
-    )
-    return parts.groupBy(*keys, F.col("__block").alias("part")).agg(
+    width = F.length("text") + F.lit(len(sep))
+    oversized = df.groupBy(*keys).agg(F.sum(width).alias("__chars")).filter(F.col("__chars") > max_cell_chars).select(*keys)
+    if oversized.isEmpty():
+        parts = df.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        sizes = df.select(*keys, note, width.alias("__width")).join(oversized, keys, "left_semi")
+        placed = global_rank(sizes, [F.asc(c) for c in (*keys, note)], running={"__width": "__upto"})
+        start = F.col("__upto") - F.col("__width")
+        first = placed.groupBy(*keys).agg(F.min(start).alias("__first"))
+        cut = placed.join(first, keys).select(*keys, note, F.floor((start - F.col("__first")) / max_cell_chars).alias("__raw"))
+        numbered = cut.select(*keys, "__raw").distinct().withColumn(
+            "part", F.row_number().over(Window.partitionBy(*keys).orderBy("__raw")).cast("bigint") - 1)
+        of_note = cut.join(numbered, [*keys, "__raw"]).select(*keys, note, F.col("part"))
+        parts = df.join(of_note, [*keys, note], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+    return parts.groupBy(*keys, "part").agg(
         F.expr(f"listagg(text, '{_sql_text(sep)}') WITHIN GROUP (ORDER BY {note})").alias("text"),
         F.count(F.lit(1)).alias("n_notes"),
     )
@@ -71,14 +79,21 @@ def aggregate_labels(codes: DataFrame, key: str = "hadm_id", code: str = "code")
 def merge_notes_labels(
     notes: DataFrame, labels: DataFrame, policy: str = "concat", order: bool = True, check: bool = False
 ) -> DataFrame:
-    """Deduplicate by policy, inner-join on the admission, fixed column order."""
+    """Deduplicate by policy, inner-join on the admission, fixed column order.
+
+    Of a text in several parts only part 0 carries the labels, so that every
+    count of labels sees an admission once.
+    """
     if policy == "longest":
         unique, extra = dedupe_keep_longest(notes), []
     elif policy == "concat":
         unique, extra = dedupe_concat(notes), ["part"]
     else:
         raise ValueError(f"unknown policy: {policy}")
-    merged = unique.join(labels, "hadm_id").select("subject_id", "hadm_id", *extra, "text", "labels")
+    joined = unique.join(labels, "hadm_id")
+    if extra:
+        joined = joined.withColumn("labels", F.when(F.col("part") == 0, F.col("labels")).otherwise(F.array().cast("array<string>")))
+    merged = joined.select("subject_id", "hadm_id", *extra, "text", "labels")
     if check:
         require_rows(merged, "notes joined with labels")
     return merged.orderBy("hadm_id", "subject_id", *extra) if order else merged
@@ -109,7 +124,9 @@ def sample_keys(df: DataFrame, column: str, n: int | None, seed) -> DataFrame:
     keys = df.select(column).dropna().distinct()
     if n is None or n <= 0:
         return keys
-    return keys.orderBy(seeded_key(seed, F.col(column)), column).limit(n)
+    keyed = keys.withColumn("__key", seeded_key(seed, F.col(column)))
+    ranked = global_rank(keyed, [F.asc("__key"), F.asc(column)], rank="__rank")
+    return ranked.filter(F.col("__rank") <= n).select(column)
 
 
 def semi_join(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:

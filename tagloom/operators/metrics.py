@@ -29,10 +29,12 @@ def _float(value) -> Column:
     return F.lit(value).cast("float") if not isinstance(value, Column) else value.cast("float")
 
 
-def _tau_array(taus: DataFrame) -> Column:
-    """K-row (idx, tau) table as one array ordered by idx (scalar subquery)."""
-    packed = F.array_sort(F.collect_list(F.struct("idx", F.col("tau").cast("float").alias("tau"))))
-    return taus.agg(F.transform(packed, lambda e: e["tau"])).scalar()
+def _tau_array(taus: DataFrame, missing: float) -> Column:
+    """(idx, tau) table as one array whose place i holds label i's threshold (scalar subquery)."""
+    every = taus.agg(F.max("idx").alias("last")).select(F.explode(F.sequence(F.lit(0), "last")).alias("idx"))
+    full = every.join(taus.select("idx", F.col("tau").cast("float").alias("tau")), "idx", "left")
+    packed = F.array_sort(F.collect_list(F.struct("idx", F.coalesce("tau", _float(missing)).alias("tau"))))
+    return full.agg(F.transform(packed, lambda e: e["tau"])).scalar()
 
 
 # --- Validation ---------------------------------------------------------------
@@ -58,23 +60,24 @@ def validate_scores(scored: DataFrame, n_labels: int) -> None:
 # --- Thresholds ---------------------------------------------------------------
 
 
-def apply_thresholds(scored: DataFrame, tau: float | DataFrame, name: str = "pred_idx") -> DataFrame:
+def apply_thresholds(scored: DataFrame, tau: float | DataFrame, name: str = "pred_idx", missing: float = DEFAULT_TAU) -> DataFrame:
     """Predicted label indices: ``score >= tau`` compared as FLOAT.
 
-    ``tau`` is one number or a per-label (idx, tau) table. Row-local.
+    ``tau`` is one number or a per-label (idx, tau) table, addressed by idx;
+    labels it lacks are held against ``missing``. Row-local.
     """
     if isinstance(tau, DataFrame):
-        scored = scored.withColumn("__taus", _tau_array(tau))
-        cells = F.zip_with("scores", "__taus", lambda s, t: s >= t)
+        scored = scored.withColumn("__taus", _tau_array(tau, missing))
+        cells = F.transform("scores", lambda s, i: s >= F.coalesce(F.get("__taus", i), _float(missing)))
     else:
         cells = F.transform("scores", lambda s: s >= _float(float(tau)))
     hits = F.filter(F.transform(cells, lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
     return scored.withColumn(name, hits).drop("__taus")
 
 
-def join_thresholds(long_scores: DataFrame, taus: DataFrame) -> DataFrame:
-    """Long-form scores (.., idx, score) with their label's threshold and decision."""
-    return long_scores.join(taus.select("idx", "tau"), "idx").withColumn(
+def join_thresholds(long_scores: DataFrame, taus: DataFrame, missing: float = DEFAULT_TAU) -> DataFrame:
+    """Long-form scores (.., idx, score) with their label's threshold, else ``missing``, and decision."""
+    return long_scores.join(taus.select("idx", "tau"), "idx", "left").withColumn("tau", F.coalesce("tau", F.lit(missing))).withColumn(
         "pred", (F.col("score").cast("float") >= F.col("tau").cast("float")).cast("int")
     )
 
@@ -126,22 +129,26 @@ def f1_micro_macro(confusion: DataFrame) -> DataFrame:
 # --- Precision at k -----------------------------------------------------------
 
 
-def _hits_at(k: Column) -> Column:
-    ranked = F.array_sort(F.transform("scores", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
-    top = F.slice(ranked, F.lit(1), k)
-    return F.size(F.filter(top, lambda e: F.array_contains("labels_idx", e["i"])))
+def _best_hits(most: int) -> Column:
+    """1 or 0 for each of the ``most`` best labels: whether it is a true one."""
+    ranked = F.sort_array(F.transform("scores", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
+    return F.transform(F.slice(ranked, 1, most), lambda e: F.array_contains("labels_idx", e["i"]).cast("int"))
 
 
 def precision_at_k(scored: DataFrame, ks: tuple[int, ...] = PRECISION_AT) -> DataFrame:
     """Mean over all rows of hits in the min(k, K) best labels, one column per k.
 
-    Ties go to the lower index; rows without labels count as 0. Row-local.
+    Ties go to the lower index; rows without labels count as 0. Row-local; the
+    scores are sorted once for all k.
     """
     if any(k < 1 for k in ks):
         raise ValueError("k must be at least 1")
-    width = F.size("scores")
-    per_row = [(_hits_at(F.least(F.lit(k), width)) / F.least(F.lit(k), width)).alias(f"__p{k}") for k in ks]
-    return scored.select(*per_row).agg(*[F.avg(f"__p{k}").alias(f"p_at_{k}") for k in ks])
+
+    def at(hits: Column, k: int) -> Column:
+        return F.aggregate(F.slice(hits, 1, k), F.lit(0), lambda a, x: a + x) / F.least(F.lit(k), F.size("scores"))
+
+    every = F.transform(F.array(_best_hits(max(ks))), lambda hits: F.struct(*[at(hits, k).alias(f"p{k}") for k in ks]))[0]
+    return scored.select(every.alias("__at")).agg(*[F.avg(f"__at.p{k}").alias(f"p_at_{k}") for k in ks])
 
 
 # --- Tuning -------------------------------------------------------------------

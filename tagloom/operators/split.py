@@ -62,16 +62,23 @@ def rarest_label(units: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _allocate(position: Column, val_frac: float, test_frac: float) -> Column:
-    """Every position r: test when floor(r·t) steps up, val likewise on the rest."""
+def _allocate(position: Column, n: Column, val_frac: float, test_frac: float) -> Column:
+    """Every position r of n: test when floor(r·t) steps up, val likewise on the rest.
+
+    From three units on no split is empty: where a step never comes, the last
+    unit is for the test and the one before it for validation.
+    """
 
     def steps(r: Column, frac: float) -> Column:
         return F.floor(r * F.lit(frac)) > F.floor((r - 1) * F.lit(frac))
 
+    share = val_frac / (1 - test_frac)
     rest = position - F.floor(position * F.lit(test_frac))
+    no_test = (n >= 3) & F.lit(test_frac > 0) & (F.floor(n * F.lit(test_frac)) == 0)
+    no_val = (n >= 3) & F.lit(val_frac > 0) & (F.floor((n - F.floor(n * F.lit(test_frac))) * F.lit(share)) == 0)
     return (
-        F.when(steps(position, test_frac), "test")
-        .when(steps(rest, val_frac / (1 - test_frac)), "val")
+        F.when(steps(position, test_frac) | (no_test & (position == n)), "test")
+        .when(steps(rest, share) | (no_val & (position == n - 1)), "val")
         .otherwise("train")
     )
 
@@ -90,8 +97,9 @@ def stratified_trials(
     keyed = with_trial.withColumn("__key", seeded_key(seed, F.col("trial"), F.col(key)))
     order = [F.asc(c) for c in ("trial", "stratum_n", "stratum", "__key", key)]
     ranked = global_rank(keyed, order, rank="__r", total="__n")
-    position = F.col("__r") - F.col("trial") * (F.col("__n") / trials).cast("bigint")
-    return ranked.select("trial", key, "labels_idx", _allocate(position, val_frac, test_frac).alias("split"))
+    n = (F.col("__n") / trials).cast("bigint")
+    position = F.col("__r") - F.col("trial") * n
+    return ranked.select("trial", key, "labels_idx", _allocate(position, n, val_frac, test_frac).alias("split"))
 
 
 def split_rows_stratified(

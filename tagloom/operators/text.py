@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as fx
 from tagloom.operators.rank import global_rank
-from tagloom.session import broadcast_if_small
+from tagloom.session import bounded_dict
 
 # Vocabulary and chunk defaults.
 VOCAB_MAX, VOCAB_MIN_FREQ, VOCAB_SMALLEST_MAX = 50_000, 2, 1000
@@ -58,29 +59,34 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "toke
                   name: str = "ids") -> DataFrame:
     """(key, ids): unknown tokens get the unknown id, empty texts are one unknown.
 
-    The clip comes first, so tokens past ``max_len`` are never looked up. Ids
-    are collected map-side before the one shuffle on the key.
+    The clip comes first, so tokens past ``max_len`` are never looked up. The
+    lookup stays inside the row: rows that share a key keep their own tokens.
     """
+    index = bounded_dict(vocab, "token", "id")
+
+    @F.pandas_udf("array<int>")
+    def looked_up(lists: pd.Series) -> pd.Series:
+        get = index.get
+        return pd.Series([[get(t, UNK_ID) for t in x] for x in lists], dtype=object)
+
     cut = F.slice(F.col(tokens), 1, max_len) if max_len is not None else F.col(tokens)
     filled = F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit(fx.UNK)))
-    flat = df.select(key, F.posexplode_outer(filled).alias("pos", "token"))
-    known = broadcast_if_small(vocab.select("token", F.col("id").alias("__id")))
-    coded = flat.join(known, "token", "left").select(key, "pos", F.coalesce("__id", F.lit(UNK_ID)).alias("__id"))
-    packed = F.array_sort(F.collect_list(F.struct("pos", "__id")))
-    return coded.groupBy(key).agg(F.transform(packed, lambda e: e["__id"]).alias(name))
+    return df.select(key, looked_up(filled).alias(name))
 
 
 def decode_tokens(df: DataFrame, vocab: DataFrame, ids: str = "ids", name: str = "tokens") -> DataFrame:
-    """ids → tokens by position in the id-ordered vocabulary; out of range → unknown.
+    """ids → tokens; an id the vocabulary lacks is the unknown token, null lists stay null.
 
-    The vocabulary is capped at build time; its token list is one scalar
-    subquery, and every lookup is an array access inside the row.
+    The vocabulary goes to each task once, not into the rows.
     """
-    packed = F.array_sort(F.collect_list(F.struct("id", "token")))
-    names = vocab.agg(F.transform(packed, lambda e: e["token"])).scalar()
-    inside = lambda i: (i >= 0) & (i < F.size("__itos"))
-    token = lambda i: F.when(inside(i), F.get("__itos", i)).otherwise(F.lit(fx.UNK))
-    return df.withColumn("__itos", names).withColumn(name, F.transform(ids, token)).drop("__itos")
+    tokens = bounded_dict(vocab, "id", "token")
+
+    @F.pandas_udf("array<string>")
+    def named(lists: pd.Series) -> pd.Series:
+        get = tokens.get
+        return pd.Series([None if x is None else [get(int(i), fx.UNK) for i in x] for x in lists], dtype=object)
+
+    return df.withColumn(name, named(F.col(ids)))
 
 
 def chunk_sequences(df: DataFrame, ids: str = "ids", max_len: int = MAX_LEN, overlap: int = OVERLAP, n_special: int = 0,

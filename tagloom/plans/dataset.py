@@ -42,10 +42,11 @@ def prepare_dataset(notes: DataFrame, codes: DataFrame, path: str, config: Datas
     """
     spark = notes.sparkSession
     merged = merged_table(notes, codes, config)
-    writers.write_parquet(merged, f"{path}/merged.parquet", extra=("part",) if "part" in merged.columns else ())
+    part = ("part",) if "part" in merged.columns else ()
+    writers.write_parquet(merged, f"{path}/merged.parquet", extra=part)
     stored = spark.read.parquet(f"{path}/merged.parquet")
     cleaning.check_invariants(stored, "hadm_id" if config.policy == "longest" else None)
-    writers.write_csv_json_labels(stored.select(*writers.MERGED), f"{path}/merged.csv")
+    writers.write_csv_json_labels(stored.select(*part, *writers.MERGED), f"{path}/merged.csv")
     writers.write_jsonl(stored, f"{path}/merged.jsonl")
     labels.label_frequency(stored, config.top_k).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/label_frequency.csv")
     labels.dataset_report(stored).coalesce(1).write.mode("overwrite").json(f"{path}/report.json")

@@ -1,4 +1,4 @@
-"""Explain a sample of predictions as one distributed plan."""
+"""Explain predictions as one distributed plan."""
 
 from __future__ import annotations
 
@@ -10,14 +10,15 @@ from tagloom.session import cut_lineage, store_table
 
 def explain_split(
     docs: DataFrame, label_map: DataFrame, tfidf: features.TfidfModel, linear: model.OvrModel, tau: float | DataFrame,
-    seed=42, n_docs: int = explain.EXAMPLES, n_labels: int = explain.LABELS_PER_DOC, key: str = "hadm_id",
+    seed=42, n_docs: int | None = None, n_labels: int = explain.LABELS_PER_DOC, key: str = "hadm_id",
     chunk_scores: DataFrame | None = None,
 ) -> DataFrame:
     """Sample → features → scores → thresholds → candidates → attributions → records.
 
-    ``docs`` has subject_id, the key, text and labels_idx.
+    ``docs`` has subject_id, the key, text and labels_idx; all of them are
+    explained unless ``n_docs`` asks for a seeded sample.
     """
-    sample = cut_lineage(split.sample_examples(docs, n_docs, seed, key))
+    sample = cut_lineage(split.sample_examples(docs, n_docs, seed, key) if n_docs is not None else docs)
     vectors = store_table(tfidf.transform(sample, key))
     scored = linear.predict(vectors, key).join(sample.select(key, "subject_id", "labels_idx"), key)
     predicted = metrics.apply_thresholds(scored, tau)

@@ -74,6 +74,18 @@ def broadcast_if_small(
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def bounded_dict(df: DataFrame, key: str, value: str, max_rows: int = BROADCAST_ROWS) -> dict:
+    """A small two-column table as a dictionary for row-local lookups in Arrow functions.
+
+    Label maps and vocabularies are capped when they are built; a table beyond
+    ``max_rows`` is refused. Runs when called.
+    """
+    rows = df.select(key, value).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a lookup table may have {max_rows} rows at most")
+    return {r[0]: r[1] for r in rows}
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan over all cores when it comes in fewer partitions.
 

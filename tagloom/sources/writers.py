@@ -41,17 +41,18 @@ def write_parquet(df: DataFrame, path: str, extra: tuple[str, ...] = ()) -> None
 
 
 def write_encoded(df: DataFrame, path: str) -> None:
-    """subject_id, hadm_id, text, labels_idx to zstd Parquet."""
-    columns = ["subject_id", "hadm_id", "text", "labels_idx"]
+    """subject_id, hadm_id, text, labels_idx (and ``part`` if there is one) to zstd Parquet."""
+    columns = ["subject_id", "hadm_id", *[c for c in ["part"] if c in df.columns], "text", "labels_idx"]
     require_columns(df, columns).select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """``{"text", "labels", "hadm_id", "subject_id"}`` per line."""
+    """``{"text", "labels", "hadm_id", "subject_id"}`` per line, and ``part`` where texts come in parts."""
     rows = require_columns(df, MERGED)
     is_text = df.schema["labels"].dataType.simpleString() == "string"
     labels = fx.labels_any_to_list(F.col("labels")) if is_text else F.coalesce("labels", F.array().cast("array<string>"))
-    rows.select("text", labels.alias("labels"), "hadm_id", "subject_id").write.mode("overwrite").json(path)
+    part = ["part"] if "part" in df.columns else []
+    rows.select("text", labels.alias("labels"), "hadm_id", "subject_id", *part).write.mode("overwrite").json(path)
 
 
 def save_label_map(label_map: DataFrame, path: str) -> None:

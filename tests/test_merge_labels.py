@@ -31,11 +31,22 @@ def test_concat_groups_by_subject_and_admission_in_note_order(rows):
 def test_concat_keeps_oversized_groups_whole_in_parts(rows):
     data = [(i, 1, 9, f"t{i}") for i in range(0, 9000, 1000)] + [(1, 2, 8, "small")]
     parts = tuples(merge.dedupe_concat(rows(data, NOTE), sep="|", max_cell_chars=20))
-    assert [p[2] for p in parts if p[1] == 9] == [0, 1]
+    assert [p[2] for p in parts if p[1] == 9] == [0, 1, 2]
+    assert all(len(p[3]) <= 20 + len("|t8000") for p in parts)
     assert "|".join(p[3] for p in parts if p[1] == 9) == "|".join(f"t{i}" for i in range(0, 9000, 1000))
     assert (2, 8, 0, "small", 1) in parts
 
 
+def test_concat_numbers_parts_without_gaps_and_counts_labels_once(rows, monkeypatch):
+    data = [(i, 1, 9, "x" * n) for i, n in enumerate([30, 30, 3, 100, 3, 3])] + [(7, 1, 8, "small")]
+    parts = tuples(merge.dedupe_concat(rows(data, NOTE), sep="|", max_cell_chars=40))
+    assert [p[2] for p in parts if p[1] == 9] == list(range(len(parts) - 1)) and len(parts) > 3
+    assert "|".join(p[3] for p in parts if p[1] == 9) == "|".join("x" * n for n in [30, 30, 3, 100, 3, 3])
+    monkeypatch.setattr(merge.dedupe_concat, "__defaults__", ("|", "note_id", 40))
+    merged = merge.merge_notes_labels(rows(data, NOTE), rows([(9, ["A"]), (8, ["A"])], "hadm_id long, labels array<string>"))
+    assert merged.selectExpr("explode(labels)").count() == 2 and merged.count() == len(parts)
+
+
 def test_aggregate_and_merge(rows):
     codes = rows([(9, "B"), (9, "A"), (9, "B"), (7, "Z")], "hadm_id long, code string")
     grouped = merge.aggregate_labels(codes)

@@ -170,3 +170,18 @@ def test_mini_splits(spark):
     assert mini.select("subject_id").distinct().count() == 20
     full = df.join(mini.select("subject_id").distinct(), "subject_id", "left_semi")
     assert full.count() == mini.count()
+
+
+def test_thresholds_are_addressed_by_label(rows):
+    scored = rows([(1, [0.9, 0.6, 0.6, 0.2])], "hadm_id long, scores array<float>")
+    taus = rows([(0, 0.95), (2, 0.5)], "idx int, tau double")
+    assert metrics.apply_thresholds(scored, taus).first()["pred_idx"] == [1, 2]
+    long = rows([(1, 0, 0.9), (1, 3, 0.6)], "hadm_id long, idx int, score float")
+    assert {r["idx"]: r["pred"] for r in metrics.join_thresholds(long, taus).collect()} == {0: 0, 3: 1}
+
+
+def test_small_splits_are_not_empty(rows):
+    for n in (3, 4, 5, 7):
+        df = rows([(i, [i % 2]) for i in range(n)], "hadm_id long, labels_idx array<int>")
+        names = [r["split"] for r in split.split_rows_stratified(df, 1).collect()]
+        assert len(names) == n and set(names) == {"train", "val", "test"}

@@ -167,3 +167,16 @@ def test_tfidf_edges(rows):
     assert none.n_features == 0 and none.transform(df, "id").filter("size(feature_ids) > 0").count() == 0
     share = features.fit_tfidf(df, features.TfidfConfig(mode="word", min_df=0.75))
     assert [r["term"] for r in share.vocab.collect()] == ["pain"]
+
+
+def test_encoding_keeps_rows_with_repeated_and_null_keys(rows):
+    from tagloom.operators import labels
+
+    mapping = rows([("A", 0), ("B", 1)], "code string, idx int")
+    df = rows([(1, ["A"]), (1, ["B", "B"]), (None, ["B"]), (2, None), (3, ["Z"])], "hadm_id long, labels array<string>")
+    got = labels.encode_labels(df, mapping)
+    assert sorted(map(repr, ((r[0], r[1]) for r in got.collect()))) == sorted(map(repr, [(1, [0]), (1, [1]), (None, [1]), (2, []), (3, [])]))
+    vocab = rows([("<PAD>", 0), ("<UNK>", 1), ("a", 2), ("b", 3)], "token string, id int")
+    ids = text.encode_tokens(rows([(1, ["a", "b"]), (1, ["z"]), (None, [])], "id long, tokens array<string>"), vocab, "id")
+    assert sorted(map(repr, ((r[0], r[1]) for r in ids.collect()))) == sorted(map(repr, [(1, [2, 3]), (1, [1]), (None, [1])]))
+    assert "Exchange" not in ids._jdf.queryExecution().executedPlan().toString()
