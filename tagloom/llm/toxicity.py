@@ -38,6 +38,9 @@ class ToxicityModel:
     weights: dict[str, float]
 
 
+NOTHING_LEARNED = ToxicityModel(-30.0, {})
+
+
 def parts(word: str) -> set[str]:
     """The marked word and its marked n-grams."""
     marked = f"^{word}$"
@@ -75,8 +78,9 @@ def fit(
     A document with several labels is toxic if any says so; null labels, null
     texts and ids without a document teach nothing. A part of a word may carry
     weight if toxic documents have it ``min_docs`` times and ``min_ratio`` times
-    as often as the others; the ``max_parts`` strongest are kept. Without both
-    classes the model scores every sentence by the share of toxic labels.
+    as often as the others; the ``max_parts`` strongest are kept. Without texts
+    of both classes, or without such a part, nothing is learned and every score
+    is next to 0.
     """
     spark = docs.sparkSession
     marked = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
@@ -85,7 +89,7 @@ def fit(
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     share = toxic / max(1, toxic + clean)
     if not toxic or not clean:
-        return ToxicityModel(float(np.log((share + 1e-4) / (1 - share + 1e-4))), {})
+        return NOTHING_LEARNED
     shares = {1: sample_docs / 2 / toxic, 0: sample_docs / 2 / clean}
     chosen = marked.where(
         ((F.col("y") == 1) & picked_below(shares[1], F.col("key"))) | ((F.col("y") == 0) & picked_below(shares[0], F.col("key"))))
@@ -121,6 +125,8 @@ def fit(
 
     bags = sample.select("y", "text").mapInPandas(encode, "y int, ids binary, ends binary").toPandas()
     bags = bags[bags["ends"].str.len() > 0].sort_values(["y", "ids", "ends"], kind="stable")
+    if set(bags["y"]) != {0, 1} or not index:
+        return NOTHING_LEARNED
     weights = {1: share / 0.5, 0: (1 - share) / 0.5}
     return _train(bags, list(found), weights, rounds)
 
