@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # to be its upper bound (label maps, thresholds, capped vocabularies).
 BROADCAST_ROWS = 1_000_000
 BROADCAST_CELLS = 20_000_000
+BROADCAST_BYTES = 256 << 20
+
+_STORED: list[str] = []  # what scratch_path has handed out and clear_stored may delete
 
 
 def build_session(app: str = "tagloom", cores: str | None = None) -> SparkSession:
@@ -62,7 +65,8 @@ def broadcast_if_small(
 ) -> DataFrame:
     """Hint a broadcast when ``df`` is proven to hold at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows. ``cells`` names an array
+    The check reads at most ``max_rows + 1`` rows; their strings may take
+    ``BROADCAST_BYTES``. ``cells`` names an array
     column whose entries are bounded by ``max_cells`` as well. A larger table
     is returned without a hint, so that Spark shuffles both sides (AQE splits
     hot keys). Call it on tables that are cheap to read twice: checkpointed or
@@ -70,8 +74,9 @@ def broadcast_if_small(
     """
     if cells is not None and (df.agg(F.sum(F.size(cells))).first()[0] or 0) > max_cells:
         return df
-    rows = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() == "string"), F.lit(0))
+    seen = df.select(width.alias("width")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("width")).first()
+    return F.broadcast(df) if seen[0] <= max_rows and (seen[1] or 0) <= BROADCAST_BYTES else df
 
 
 def bounded_dict(df: DataFrame, key: str, value: str, max_rows: int = BROADCAST_ROWS) -> dict:
@@ -98,9 +103,23 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
+    """A fresh path below the shared checkpoint folder, kept until ``clear_stored``."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    return _STORED[-1]
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete every table this process has stored below the checkpoint folder; returns how many.
+
+    Call it when all results that read them have been written.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    deleted = 0
+    while _STORED:
+        path = hadoop.Path(_STORED.pop())
+        deleted += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted
 
 
 def store_table(df: DataFrame, name: str = "table") -> DataFrame:

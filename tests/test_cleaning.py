@@ -132,3 +132,10 @@ def test_invariants(rows):
     cleaning.check_invariants(good.union(good), unique_key=None)
     with pytest.raises(cleaning.DataCheckError, match="empty_table"):
         cleaning.check_invariants(good.limit(0))
+
+
+def test_payload_check_reads_all_rows(rows):
+    df = rows([("plain",)] * 60 + [("/home/someone/file.txt",)], "note string")
+    with pytest.raises(cleaning.DataCheckError):
+        cleaning.assert_no_absolute(df, payload="note")
+    cleaning.assert_no_absolute(df.limit(10), payload="note", payload_rows=10)
