@@ -21,6 +21,8 @@ from tagloom.session import broadcast_if_small, scratch_path
 INVERSE_REGULARISATION, MAX_ITERATIONS = 2.0, 400
 BIAS_FEATURE = -1
 ROWS_PER_TASK = 2000
+# A model of so many features × labels is held whole by each task (128 MB).
+DENSE_CELLS = 16_000_000
 WEIGHT_SCHEMA = "idx int, feature_id int, weight double"
 INTERCEPT_SCHEMA = "idx int, intercept double, constant double"
 
@@ -106,11 +108,43 @@ def fit_ovr_logreg(
 def predict_ovr(model: OvrModel, features: DataFrame, key: str, name: str = "scores") -> DataFrame:
     """(key, scores ARRAY<FLOAT>): probability of every label, in one pass.
 
-    Weights are grouped by feature (a list of at most K) and met by the
-    document's non-zeros; the intercept is a feature every document has, so
-    empty documents score too. The weight table is broadcast only below a
-    checked number of cells; otherwise Spark shuffles on the feature and AQE
-    splits features found everywhere. Sums are combined map-side.
+    A model of at most ``DENSE_CELLS`` features × labels is one matrix in each
+    task, and a document is the product of its non-zeros with it: no row is
+    exploded and nothing is shuffled. A larger model is joined by feature.
+    """
+    n_labels = model.intercepts.count()
+    if model.n_features and n_labels and model.n_features * n_labels <= DENSE_CELLS:
+        return _predict_dense(model, features, key, name)
+    return _predict_joined(model, features, key, name)
+
+
+def _predict_dense(model: OvrModel, features: DataFrame, key: str, name: str) -> DataFrame:
+    ends = model.intercepts.orderBy("idx").toPandas()
+    place = {idx: at for at, idx in enumerate(ends["idx"])}
+    cells = model.weights.toPandas()
+    matrix = np.zeros((model.n_features, len(ends)))
+    known = cells["idx"].isin(place.keys())
+    np.add.at(matrix, (cells["feature_id"][known], cells["idx"][known].map(place).astype(int)), cells["weight"][known])
+    bias, constant = ends["intercept"].to_numpy(dtype=float), ends["constant"].to_numpy(dtype=float)
+
+    @F.pandas_udf("array<float>")
+    def score(ids: pd.Series, values: pd.Series) -> pd.Series:
+        def one(i: np.ndarray, v: np.ndarray) -> np.ndarray:
+            z = bias + np.asarray(v, dtype=float) @ matrix[np.asarray(i, dtype=int)] if len(i) else bias
+            return np.where(np.isnan(constant), 1 / (1 + np.exp(-np.clip(z, -700, 700))), constant).astype("float32")
+
+        return pd.Series([one(i, v) for i, v in zip(ids, values, strict=True)], dtype=object)
+
+    return features.select(key, score("feature_ids", "feature_values").alias(name))
+
+
+def _predict_joined(model: OvrModel, features: DataFrame, key: str, name: str) -> DataFrame:
+    """Weights grouped by feature (a list of at most K) meet the documents' non-zeros.
+
+    The intercept is a feature every document has, so empty documents score
+    too. The weight table is broadcast only below a checked number of cells;
+    otherwise Spark shuffles on the feature and AQE splits features found
+    everywhere. Sums are combined map-side.
     """
     cell = F.struct("idx", F.col("weight").alias("w"))
     by_feature = model.weights.groupBy("feature_id").agg(F.collect_list(cell).alias("ws"))
