@@ -139,6 +139,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     """Of two sorted weighted sets; 0 if either is empty."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i], b[1][j]).sum()
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = a[0][at] == b[0]
+    common = np.minimum(a[1][at[both]], b[1][both]).sum()
     return float(common / (a[1].sum() + b[1].sum() - common))

@@ -38,6 +38,8 @@ FEW = 48
 # levels is compared in full.
 LEVELS = 3
 _CELLS = 200_000
+# Texts whose shingles a task keeps at hand while it compares pairs.
+_RECENT = 256
 
 
 def words_of(text: str | None) -> list[str]:
@@ -84,11 +86,20 @@ def similar(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, wid
     texts = store_table(texts.join(broadcast_if_small(ids), "key", "left_semi"), "candidate-texts")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(width)
+        shingler, recent = Shingler(width), {}
+
+        def shingles(k: int, content: str) -> tuple[np.ndarray, np.ndarray]:
+            found = recent.get(k)
+            if found is None:
+                if len(recent) >= _RECENT:
+                    recent.clear()
+                found = recent[k] = shingler.weighted(words_of(content))
+            return found
+
         for batch in batches:
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": [
-                weighted_jaccard(shingler.weighted(words_of(x)), shingler.weighted(words_of(y)))
-                for x, y in zip(batch["x"], batch["y"], strict=True)]})
+                weighted_jaccard(shingles(a, x), shingles(b, y))
+                for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True)]})
 
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
@@ -102,12 +113,16 @@ def _near_weight(threshold: float, x: str, y: str):
 
 
 def _star(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of each bucket's members with its pivot, which the bucket's own hash picks."""
+    """Pairs of each bucket's members with its pivot, which the bucket's own hash picks.
+
+    Members of the pivot's class are left out: their link would join nothing.
+    """
     pivots = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("bucket", "key"), "key", "weight")).alias("p")
-    ).where(F.col("n") > 1).select("bucket", F.col("p.key").alias("pivot"), F.col("p.weight").alias("pivot_weight"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("bucket", "key"), "key", "weight", "root")).alias("p")
+    ).where(F.col("n") > 1).select(
+        "bucket", F.col("p.key").alias("pivot"), F.col("p.weight").alias("pivot_weight"), F.col("p.root").alias("pivot_root"))
     return (
-        members.join(pivots, "bucket").where((F.col("key") != F.col("pivot")) & _near_weight(threshold, "weight", "pivot_weight"))
+        members.join(pivots, "bucket").where((F.col("root") != F.col("pivot_root")) & _near_weight(threshold, "weight", "pivot_weight"))
         .select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     )
 
@@ -119,8 +134,8 @@ def near_duplicates(
     """One row per row of ``docs`` with a key: ``key``, ``class_id`` and ``links``.
 
     ``class_id`` is the smallest id of all documents connected by similarities of
-    at least ``threshold``; ``links`` counts the similarities found between the
-    document's text and different texts. Null texts and texts without a word
+    at least ``threshold``; ``links`` counts the similarities that were found
+    between the document's text and different texts while classes were joined. Null texts and texts without a word
     are alone in their class. Rows that share an id are one document. Rows
     without an id are left out here; an empty table gives no rows; other columns
     are not read. Two texts at the threshold itself miss each other in every
@@ -134,7 +149,7 @@ def near_duplicates(
     reps = store_table(
         first.select("content", "copies", F.col("r.key").alias("key"), F.col("r.weight").alias("weight"), F.col("r.bands").alias("bands")),
         "representatives")
-    members = reps.select("key", "weight", F.posexplode("bands").alias("band", "bucket"))
+    members = reps.select("key", "weight", F.col("key").alias("root"), F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
     members = store_table(members.join(shared, "bucket", "left_semi"), "buckets")
     links = done = labels = None
@@ -143,7 +158,8 @@ def near_duplicates(
         pairs = store_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         links, done, labels = _add(pairs, links, done, labels, docs, threshold, width, key, text)
         placed = store_table(
-            members.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")),
+            members.drop("root").join(labels.select(F.col("node").alias("key"), "root"), "key", "left")
+            .withColumn("root", F.coalesce("root", "key")),
             "placed")
         state = (
             placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
@@ -164,11 +180,11 @@ def near_duplicates(
         large = state.where(many).select("bucket")
         if level == LEVELS or large.isEmpty():
             break
-        split = placed.join(large, "bucket", "left_semi").select("bucket", "band", "key", "weight").join(reps.select("key", "bands"), "key")
-        finer = split.select("key", "weight", "band", F.col("bucket").alias("first"), F.posexplode("bands").alias("band2", "second"))
+        split = placed.join(large, "bucket", "left_semi").select("bucket", "band", "key", "weight", "root").join(reps.select("key", "bands"), "key")
+        finer = split.select("key", "weight", "root", "band", F.col("bucket").alias("first"), F.posexplode("bands").alias("band2", "second"))
         members = store_table(
             finer.where(F.col("band2") > F.col("band")).select(
-                "key", "weight", F.col("band2").alias("band"), F.xxhash64("first", "second").alias("bucket")), "buckets")
+                "key", "weight", "root", F.col("band2").alias("band"), F.xxhash64("first", "second").alias("bucket")), "buckets")
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     classes = (
         reps.select("content", "copies", "key")
