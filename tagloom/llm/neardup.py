@@ -3,12 +3,15 @@
 1. Every text becomes a weighted set of hashed shingles (five lower-cased words,
    weighted by how often each occurs) and a dart signature; texts of equal words
    collapse to the one with the smallest id.
-2. Representatives that share a band meet in a bucket. In each bucket one member,
-   another for each band, is the pivot and the rest are compared with it; a
-   hot bucket costs one comparison per member.
+2. Representatives that share a band meet in a bucket. In each bucket one member is
+   the pivot and the rest are compared with it: first the one that meets most
+   others over all its buckets (the original of many near copies does), then one
+   picked by a hash. A hot bucket costs one comparison per member each time.
 3. Comparisons are exact (weighted Jaccard on whole texts); links make classes.
 4. A bucket that still holds several classes is not settled. If few of its members
-   are outside its largest class, these are compared with all of other classes.
+   are outside its largest class, these meet all of other classes, and those pairs
+   are compared whose occupied cells (a bitmap of shingle hashes) do not rule the
+   similarity out.
    If many are, the bucket is split by a second band and goes through 2 and 3
    again. No bucket is dropped or cut.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import small_batches
@@ -42,12 +45,36 @@ _CELLS = 200_000
 _RECENT = 256
 
 
+def occupied(values: np.ndarray, weight: int) -> np.ndarray:
+    """A bitmap of the cells that shingle hashes fall in, eight to sixteen cells a unit of weight, as 64-bit words."""
+    n_words = 1 << max(0, int(weight - 1).bit_length() - 3)
+    cells = np.unique((values & np.uint64(n_words * 64 - 1)).astype(np.int64))
+    words = np.zeros(n_words, dtype=np.uint64)
+    np.bitwise_or.at(words, cells >> 6, np.uint64(1) << (cells & 63).astype(np.uint64))
+    return words.view(np.int64)
+
+
+def cannot_reach(threshold: float, w1: str, c1: str, w2: str, c2: str) -> Column:
+    """True only if two texts' weights and cells show that their similarity is below ``threshold``.
+
+    A cell that one text occupies and the other does not holds weight of at least
+    1 that they do not share. Bitmaps of different length are not compared.
+    """
+
+    def alone(x: str, y: str) -> Column:
+        rest = F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))).cast("long"))
+        return F.aggregate(rest, F.lit(0).cast("long"), lambda total, n: total + n)
+
+    shared = F.least(F.col(w1) - alone(c1, c2), F.col(w2) - alone(c2, c1))
+    return (F.size(c1) == F.size(c2)) & (shared < threshold * (F.col(w1) + F.col(w2) - shared) - 1e-9)
+
+
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
 def signatures(docs: DataFrame, darts: Darts, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``content`` (digest of the words), ``weight`` and ``bands`` of texts with a word."""
+    """``key``, ``content`` (digest of the words), ``weight``, ``bands`` and ``cells`` of texts with a word."""
     small_batches(docs.sparkSession)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,11 +95,12 @@ def signatures(docs: DataFrame, darts: Darts, width: int = WIDTH, key: str = "do
 
     def finish(rows: list[tuple], sets: list) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["key", "content", "weight"])
+        out["cells"] = [occupied(values, weight) for (values, _), weight in zip(sets, out["weight"], strict=True)]
         out["bands"] = list(darts.band_keys(darts.signatures(sets)))
         return out
 
     wanted = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
-    return wanted.mapInPandas(apply, "key long, content string, weight long, bands array<long>")
+    return wanted.mapInPandas(apply, "key long, content string, weight long, cells array<long>, bands array<long>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,13 +140,14 @@ def _near_weight(threshold: float, x: str, y: str):
     return F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
 
 
-def _star(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of each bucket's members with its pivot, which the bucket's own hash picks.
+def _star(members: DataFrame, threshold: float, central: bool) -> DataFrame:
+    """Pairs of each bucket's members with its pivot: the one with the greatest ``degree``, or the bucket's own hash picks.
 
     Members of the pivot's class are left out: their link would join nothing.
     """
+    first = [-F.col("degree")] if central else []
     pivots = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("bucket", "key"), "key", "weight", "root")).alias("p")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*first, F.xxhash64("bucket", "key"), "key", "weight", "root")).alias("p")
     ).where(F.col("n") > 1).select(
         "bucket", F.col("p.key").alias("pivot"), F.col("p.weight").alias("pivot_weight"), F.col("p.root").alias("pivot_root"))
     return (
@@ -145,22 +174,26 @@ def near_duplicates(
     darts = darts or Darts()
     signed = store_table(signatures(docs, darts, width, key, text), "signatures")
     first = signed.groupBy("content").agg(
-        F.min(F.struct("key", "weight", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        F.min(F.struct("key", "weight", "bands", "cells")).alias("r"), F.count(F.lit(1)).alias("copies"))
     reps = store_table(
-        first.select("content", "copies", F.col("r.key").alias("key"), F.col("r.weight").alias("weight"), F.col("r.bands").alias("bands")),
+        first.select("content", "copies", F.col("r.key").alias("key"), F.col("r.weight").alias("weight"), F.col("r.bands").alias("bands"),
+            F.col("r.cells").alias("cells")),
         "representatives")
     members = reps.select("key", "weight", F.col("key").alias("root"), F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    members = store_table(members.join(shared, "bucket", "left_semi"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    members = store_table(members.join(shared, "bucket"), "buckets")
+    degrees = store_table(members.groupBy("key").agg(F.sum("n").alias("degree")), "degrees")
+    members = members.drop("n")
     links = done = labels = None
     for level in range(LEVELS + 1):
-        pairs = _star(members, threshold)
-        pairs = store_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        links, done, labels = _add(pairs, links, done, labels, docs, threshold, width, key, text)
-        placed = store_table(
-            members.drop("root").join(labels.select(F.col("node").alias("key"), "root"), "key", "left")
-            .withColumn("root", F.coalesce("root", "key")),
-            "placed")
+        for central in (True, False):
+            pairs = _star(members.join(degrees, "key") if central else members, threshold, central)
+            pairs = store_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+            links, done, labels = _add(pairs, links, done, labels, docs, threshold, width, key, text)
+            placed = members = store_table(
+                members.drop("root").join(labels.select(F.col("node").alias("key"), "root"), "key", "left")
+                .withColumn("root", F.coalesce("root", "key")),
+                "placed")
         state = (
             placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
             .agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
@@ -170,10 +203,12 @@ def near_duplicates(
         state = store_table(state, "unsettled")
         many = F.col("outside") > few if level < LEVELS else F.lit(False)
         rest = placed.join(state.where(~many), "bucket").select("bucket", "key", "weight", "root", "main")
-        outside = rest.where(F.col("root") != F.col("main")).select(
-            "bucket", F.col("key").alias("key2"), F.col("weight").alias("weight2"), F.col("root").alias("root2"))
+        rest = store_table(rest.join(reps.select("key", "cells"), "key"), "unsettled-members")
+        outside = rest.where(F.col("root") != F.col("main")).select("bucket", *[F.col(c).alias(f"{c}2") for c in ("key", "weight", "root", "cells")])
         apart = (
-            rest.join(outside, "bucket").where((F.col("root") != F.col("root2")) & _near_weight(threshold, "weight", "weight2"))
+            rest.join(outside, "bucket").where(
+                (F.col("root") != F.col("root2")) & _near_weight(threshold, "weight", "weight2")
+                & ~cannot_reach(threshold, "weight", "cells", "weight2", "cells2"))
             .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         )
         links, done, labels = _add(store_table(apart, "pairs"), links, done, labels, docs, threshold, width, key, text)

@@ -252,3 +252,19 @@ def test_pipeline_edges(spark):
                 assert docs.columns == corpus_pipeline.COLUMNS
         got = sorted((r["doc_id"] for r in docs.collect()), key=repr)
         assert got == ([1, None] if frame_rows else [])
+
+
+def test_cells_never_rule_out_similar_texts(spark):
+    pick, shingler, rows = random.Random(4), dartminhash.Shingler(), []
+    for n in (6, 40, 120, 300):
+        body = [f"w{pick.randint(0, 40 if n == 40 else 9000)}" for _ in range(n)]
+        for edits in (0, 1, 2, 3, n // 20, n // 10, n):
+            other = body.copy()
+            for _ in range(edits):
+                other[pick.randrange(n)] = f"x{pick.randint(0, 9000)}"
+            a, b = shingler.weighted(body), shingler.weighted(other)
+            w, v = int(a[1].sum()), int(b[1].sum())
+            rows.append((dartminhash.weighted_jaccard(a, b), w, neardup.occupied(a[0], w).tolist(), v, neardup.occupied(b[0], v).tolist()))
+    frame = spark.createDataFrame(rows, "s double, w long, c array<long>, w2 long, c2 array<long>")
+    got = frame.select("s", neardup.cannot_reach(0.8, "w", "c", "w2", "c2").alias("out")).collect()
+    assert not any(r["out"] for r in got if r["s"] >= 0.8) and sum(r["out"] for r in got) >= 0.6 * sum(r["s"] < 0.7 for r in got)
