@@ -29,7 +29,7 @@ from tagloom.llm.common import small_batches
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 
 
 class Vocabulary:
@@ -54,6 +54,12 @@ class Vocabulary:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.surface.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.ids), default=1)
+        lengths: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                lengths.setdefault(piece[-2:], set()).add(len(piece))
+        # Lengths of the pieces that end in two given characters, longest first.
+        self.endings = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
         self.missing = min(self.scores.values(), default=0.0) - 10.0
 
 
@@ -63,7 +69,7 @@ class Viterbi:
     def __init__(self, vocabulary: Vocabulary, most_pairs: int = 1_000_000):
         self._v, self._most = vocabulary, most_pairs
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        self._coded = {piece: i.to_bytes(4, "little") for piece, i in vocabulary.ids.items()}
 
     def merged(self, text: str) -> list[str]:
         """The merges of a short string: best scored neighbours first, then leftmost."""
@@ -78,22 +84,21 @@ class Viterbi:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _admissible(self, before: str | None, piece: str) -> bool:
-        if before is None:
-            known = self._alone.get(piece)
-            if known is None:
-                known = self._alone[piece] = self.merged(piece) == [piece]
-            return known
-        known = self._pairs.get((before, piece))
-        if known is None:
-            if len(self._pairs) > self._most:
-                self._pairs.clear()
-            known = self._pairs[before, piece] = self.merged(before + piece) == [before, piece]
+    def _admissible(self, before: str, piece: str) -> bool:
+        """Whether the two, merged on their own, stay these two; nothing before: whether the piece forms."""
+        if len(self._pairs) > self._most:
+            self._pairs.clear()
+        known = self._pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
 
-    def encode(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of each of the sorted, distinct ``words``."""
-        last: list[str | None] = [None]  # best last piece of each prefix of the current word
+    def encode(self, words: list[str]) -> Iterator[bytes]:
+        """Ids, as little-endian 32-bit words, of each of the sorted, distinct ``words``.
+
+        The states of the current word's prefixes: best last piece, ids so far
+        and, for sums, their score.
+        """
+        last: list[str] = [""]
+        ids: list[bytes] = [b""]
         total = [0.0]
         previous = ""
         step = self._by_merges if self._v.bpe else self._by_sum
@@ -103,42 +108,42 @@ class Viterbi:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], ids[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                step(word, end, last, total)
-            previous = word
-            pieces, end = [], len(word)
-            while end:
-                piece = last[end]
-                pieces.append(piece)
-                end -= len(piece)
-            ids: list[int] = []
-            for piece in reversed(pieces):
-                known = self._v.ids.get(piece)
-                if known is not None:
-                    ids.append(known)
-                else:
-                    ids.extend(self._v.bytes[b] for b in piece.encode("utf-8", "replace"))
-            yield ids
-
-    def _by_merges(self, word: str, end: int, last: list, total: list) -> None:
-        ids = self._v.ids
-        for start in range(max(0, end - self._v.longest), end - 1):
-            piece = word[start:end]
-            if piece in ids and self._admissible(last[start], piece) and (start == 0 or self._admissible(None, piece)):
+                piece = step(word, end, last, total)
                 last.append(piece)
-                return
-        last.append(word[end - 1])
-
-    def _by_sum(self, word: str, end: int, last: list, total: list) -> None:
+                known = self._coded.get(piece)
+                ids.append(ids[end - len(piece)] + (known if known is not None else self._spelled(piece)))
+            previous = word
+            yield ids[-1]
+
+    def _spelled(self, piece: str) -> bytes:
+        return b"".join(self._v.bytes[b].to_bytes(4, "little") for b in piece.encode("utf-8", "replace"))
+
+    def _by_merges(self, word: str, end: int, last: list[str], total: list[float]) -> str:
+        if end > 1:
+            coded, pairs = self._coded, self._pairs
+            for length in self._v.endings.get(word[end - 2 : end], ()):
+                start = end - length
+                if start < 0:
+                    continue
+                piece = word[start:end]
+                if piece in coded:
+                    before = last[start]
+                    known = pairs.get((before, piece))
+                    if known or known is None and self._admissible(before, piece):
+                        return piece
+        return word[end - 1]
+
+    def _by_sum(self, word: str, end: int, last: list[str], total: list[float]) -> str:
         scores = self._v.scores
         best, chosen = total[end - 1] + scores.get(word[end - 1], self._v.missing), word[end - 1]
         for start in range(end - 2, max(0, end - self._v.longest) - 1, -1):
             score = scores.get(word[start:end])
             if score is not None and total[start] + score >= best:
                 best, chosen = total[start] + score, word[start:end]
-        last.append(chosen)
         total.append(best)
+        return chosen
 
 
 class Encoder:
@@ -162,11 +167,11 @@ class Encoder:
             self._cache.clear()
         new = sorted(set().union(*split).difference(self._cache))
         for word, ids in zip(new, self._viterbi.encode([MARK + w for w in new]), strict=True):
-            self._cache[word] = np.array(ids, dtype="<i4").tobytes()
+            self._cache[word] = ids
         return [np.frombuffer(b"".join(map(self._cache.__getitem__, words)), dtype="<i4") for words in split]
 
 
-def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text", bpe: bool = True, batch_texts: int = 250) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text", bpe: bool = True, batch_texts: int = 1000) -> DataFrame:
     """``keep`` columns and ``ids``, the pieces of the whole text; null and empty texts have none.
 
     A repeated row is encoded again; other columns are not read, whatever their

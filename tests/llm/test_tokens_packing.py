@@ -61,7 +61,8 @@ def test_unigram_viterbi_is_the_best_sum():
 
     words = sorted({"▁" + "".join(random.Random(i).choices("ab", k=i % 9)) for i in range(60)})
     names = {i: p for p, i in vocabulary.ids.items()}
-    for word, ids in zip(words, pieces.Viterbi(vocabulary).encode(words), strict=True):
+    for word, coded in zip(words, pieces.Viterbi(vocabulary).encode(words), strict=True):
+        ids = np.frombuffer(coded, dtype="<i4")
         assert "".join(names[i] for i in ids) == word
         assert abs(sum(vocabulary.scores[names[i]] for i in ids) - best(word)) < 1e-9
 
