@@ -101,7 +101,7 @@ def conversations(messages: DataFrame, thread: str = "conv_id", turn: str = "tur
     not read.
 
     Parents are followed by doubling, so a reply chain of any length takes a
-    logarithmic number of joins; positions come from a distributed rank, so a
+    logarithmic number of joins, each over the messages not yet at their root; positions come from a distributed rank, so a
     thread of any size is never in one task.
     """
     rows = messages.select(F.col(thread).alias("thread"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
@@ -112,15 +112,20 @@ def conversations(messages: DataFrame, thread: str = "conv_id", turn: str = "tur
     parents = store_table(parents, "quote-parents")
     up = store_table(parents.where(F.col("parent").isNotNull()).select(
         "thread", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "reply-roots")
+    active, ended = up, None
     while True:
-        above = up.select(F.col("thread").alias("t"), F.col("turn").alias("at"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
-        moved = up.join(above, F.col("thread").eqNullSafe(F.col("t")) & (F.col("root") == F.col("at")), "left").select(
+        every = active if ended is None else active.unionByName(ended)
+        above = every.select(F.col("thread").alias("t"), F.col("turn").alias("at"), F.col("root").alias("r2"), F.col("depth").alias("d2"))
+        moved = active.join(above, F.col("thread").eqNullSafe(F.col("t")) & (F.col("root") == F.col("at")), "left").select(
             "thread", "turn", F.coalesce("r2", "root").alias("root"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
             F.col("r2").isNotNull().alias("moved"))
         moved = store_table(moved, "reply-roots")
-        up = moved.drop("moved")
-        if moved.where("moved").isEmpty():
+        at_root = moved.where(~F.col("moved")).drop("moved")
+        ended = at_root if ended is None else ended.unionByName(at_root)
+        active = moved.where("moved").drop("moved")
+        if active.isEmpty():
             break
+    up = ended
     m, p, u = rows.alias("m"), parents.alias("p"), up.alias("u")
     same = lambda x: F.col("m.thread").eqNullSafe(F.col(f"{x}.thread")) & (F.col("m.turn") == F.col(f"{x}.turn"))
     joined = m.join(p, same("p"), "left").join(u, same("u"), "left").select(
