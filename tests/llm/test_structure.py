@@ -268,3 +268,11 @@ def test_cells_never_rule_out_similar_texts(spark):
     frame = spark.createDataFrame(rows, "s double, w long, c array<long>, w2 long, c2 array<long>")
     got = frame.select("s", neardup.cannot_reach(0.8, "w", "c", "w2", "c2").alias("out")).collect()
     assert not any(r["out"] for r in got if r["s"] >= 0.8) and sum(r["out"] for r in got) >= 0.6 * sum(r["s"] < 0.7 for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    from check import compare, connect
+
+    ok, note = compare(spark, connect(SF), queries.QUERIES[name], queries.ORACLES[name], SF)
+    assert ok, note
