@@ -239,6 +239,8 @@ def _add(pairs: DataFrame, links, done, labels, docs: DataFrame, threshold: floa
     if labels is not None and pairs.isEmpty():
         return links, done, labels
     fresh = store_table(similar(pairs, docs, threshold, width, key, text).select("a", "b"), "links")
-    links = fresh if links is None else links.unionByName(fresh)
     done = pairs if done is None else done.unionByName(pairs)
+    if labels is not None and fresh.isEmpty():
+        return links, done, labels
+    links = fresh if links is None else links.unionByName(fresh)
     return links, done, components(links)
