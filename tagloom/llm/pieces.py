@@ -94,11 +94,11 @@ class Viterbi:
     def encode(self, words: list[str]) -> Iterator[bytes]:
         """Ids, as little-endian 32-bit words, of each of the sorted, distinct ``words``.
 
-        The states of the current word's prefixes: best last piece, ids so far
-        and, for sums, their score.
+        The states of the current word's prefixes: best last piece, which leads
+        back to the prefix before it, and, for sums, their score. Ids are put
+        together once a word, so memory is linear in its length.
         """
         last: list[str] = [""]
-        ids: list[bytes] = [b""]
         total = [0.0]
         previous = ""
         step = self._by_merges if self._v.bpe else self._by_sum
@@ -108,14 +108,18 @@ class Viterbi:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                piece = step(word, end, last, total)
-                last.append(piece)
-                known = self._coded.get(piece)
-                ids.append(ids[end - len(piece)] + (known if known is not None else self._spelled(piece)))
+                last.append(step(word, end, last, total))
             previous = word
-            yield ids[-1]
+            ids, end = [], len(word)
+            while end:
+                piece = last[end]
+                known = self._coded.get(piece)
+                ids.append(known if known is not None else self._spelled(piece))
+                end -= len(piece)
+            ids.reverse()
+            yield b"".join(ids)
 
     def _spelled(self, piece: str) -> bytes:
         return b"".join(self._v.bytes[b].to_bytes(4, "little") for b in piece.encode("utf-8", "replace"))

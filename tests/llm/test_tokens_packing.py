@@ -1,6 +1,7 @@
 """Exact ids, histograms and packing against brute force."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -48,6 +49,21 @@ def test_piece_ids_are_the_librarys(path):
             assert pieces._plain(vocabulary.surface, ids) == text.replace("▁", " ")
 
 
+def test_memory_is_linear_in_a_words_length():
+    """The memory of a text without spaces is checked at 20,000 characters, then 200,000 are encoded."""
+    model, vocabulary = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES), pieces.Vocabulary(queries.PIECES)
+    encoder, pick = pieces.Encoder(vocabulary), random.Random(3)
+    texts = ["".join(pick.choices(["你好", "é", "the", "ing", "😀", "Qz9", "/"], k=n)) for n in (10_000, 100_000)]
+    for text, least in zip(texts, (20_000, 200_000), strict=True):
+        text = text.ljust(least, "x")[:least]
+        tracemalloc.start()
+        ids = encoder.encode([text])[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2000 * len(text)
+        assert ids.tolist() == model.encode(text)
+
+
 def test_unigram_viterbi_is_the_best_sum():
     vocabulary = pieces.Vocabulary(queries.PIECES, bpe=False)
     vocabulary.ids = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "ba", "aba"])}
