@@ -9,16 +9,18 @@
    picked by a hash. A hot bucket costs one comparison per member each time.
 3. Comparisons are exact (weighted Jaccard on whole texts); links make classes.
 4. A bucket that still holds several classes is not settled. If few of its members
-   are outside its largest class, these meet all of other classes, and those pairs
-   are compared whose occupied cells (a bitmap of shingle hashes) do not rule the
-   similarity out.
-   If many are, the bucket is split by a second band and goes through 2 and 3
-   again. No bucket is dropped or cut.
+   are outside its largest class, these meet all of other classes. If many are, its
+   members go into a prefix join: with all shingles in one order, rare ones first,
+   two texts that reach the threshold share a shingle near the front of both, so
+   those that share one there meet. Of the pairs of 4 those are compared whose
+   occupied cells (a bitmap of shingle hashes) do not rule the similarity out.
+   Both ways are exact: to share one band is enough, however large the bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +30,24 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import small_batches
 from tagloom.llm.components import components
-from tagloom.llm.dartminhash import Darts, Shingler, weighted_jaccard
+from tagloom.llm.dartminhash import Darts, Shingler, mix, weighted_jaccard
 from tagloom.session import broadcast_if_small, store_table
 
 THRESHOLD = 0.8
 WIDTH = 5
 # An unsettled bucket with at most so many members outside its largest class has
-# them compared with the rest: a bounded number of partners for each member.
+# them compared with the rest: a bounded number of partners for each member. The
+# members of others go into the prefix join.
 FEW = 48
-# Splitting a bucket by one more band leaves 31 * s^7 of its rows for texts of
-# similarity s, fewer with each level for s below 0.6. What is left after so many
-# levels is compared in full.
-LEVELS = 3
+# Cells of the sketch that orders shingles by how often they occur. It decides
+# what the prefix join costs, not what it finds.
+_SKETCH = 1 << 21
+# A shingle at the front of more texts than this is joined by classes of weight,
+# each a factor _STEP wide.
+_HOT = 64
+_STEP = 1.05
+# Rows of one shingle that one task's block of the prefix join holds.
+_BLOCK = 2048
 _CELLS = 200_000
 # Texts whose shingles a task keeps at hand while it compares pairs.
 _RECENT = 256
@@ -156,6 +164,100 @@ def _star(members: DataFrame, threshold: float, central: bool) -> DataFrame:
     )
 
 
+def _fronts(keys: DataFrame, docs: DataFrame, threshold: float, width: int, key: str, text: str) -> DataFrame:
+    """``key``, ``weight``, ``token`` and ``at`` of each text's first shingles, in an order that all texts share.
+
+    The order is by a sketch of how many texts have a shingle, then by hash. A
+    shingle that occurs ``n`` times is ``n`` tokens, so weighted Jaccard is that of
+    token sets. Two texts of ``threshold`` share a token among the first
+    w - ceil(threshold * w) + 1 of each. Tokens of one text alone may be missing.
+    """
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    texts = texts.join(broadcast_if_small(keys), "key", "left_semi")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(width)
+        for batch in batches:
+            sets = [(k, *shingler.weighted(words_of(content))) for k, content in zip(batch["key"], batch["text"], strict=True)]
+            rows = [(k, values.view(np.int64), counts.astype(np.int64)) for k, values, counts in sets if len(values)]
+            yield pd.DataFrame(rows, columns=["key", "values", "counts"])
+
+    sets = store_table(texts.select("key", "text").mapInPandas(shingled, "key long, values array<long>, counts array<long>"), "shingles")
+    cells = sets.select(F.explode("values").alias("v")).groupBy(F.col("v").bitwiseAND(_SKETCH - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counted = cells.toPandas()  # at most _SKETCH rows
+    sketch = np.zeros(_SKETCH, dtype=np.int64)
+    sketch[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for batch in batches:
+            rows = []
+            for k, values, counts in zip(batch["key"], batch["values"], batch["counts"], strict=True):
+                values, counts = np.asarray(values, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+                weight = int(counts.sum())
+                most = weight - math.ceil(threshold * weight - 1e-9) + 1
+                n = often[values & (_SKETCH - 1)]
+                order = np.lexsort((values, n))
+                values, counts, n = values[order], counts[order], n[order]
+                last = np.cumsum(counts)
+                end = int(np.searchsorted(last, most)) + 1
+                values, counts, n, first = values[:end], counts[:end], n[:end], (last - counts)[:end]
+                at = np.arange(min(most, weight))
+                owner = np.repeat(np.arange(len(values)), counts)[: len(at)]
+                tokens = mix(values.view(np.uint64)[owner] + mix((at - first[owner]).astype(np.uint64))).view(np.int64)
+                met = n[owner] > 1
+                rows.append((k, weight, tokens[met], at[met]))
+            yield pd.DataFrame(rows, columns=["key", "weight", "tokens", "places"])
+
+    found = sets.mapInPandas(front, "key long, weight long, tokens array<long>, places array<long>")
+    return found.select("key", "weight", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(
+        "key", "weight", F.col("t.tokens").alias("token"), F.col("t.places").alias("at"))
+
+
+def _met(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` of groups that hold several roots, with the group's size ``n`` and its most frequent root ``main``."""
+    groups = rows.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*group).agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
+    return rows.join(groups.where(F.col("roots") > 1).drop("roots"), group)
+
+
+def _prefix_pairs(members: DataFrame, docs: DataFrame, threshold: float, width: int, key: str, text: str) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``members`` (``key``, ``root``) of different roots; none that reaches ``threshold`` is left out.
+
+    Before the first token they share, two texts have nothing in common, so what
+    follows it in the shorter rest bounds what they share; a pair is kept if that is enough
+    for some token. Tokens of many texts are joined by the weight classes of
+    both, so that texts meet only in classes where the bound allows it. Members
+    of a token's most frequent root meet the others only, in salted blocks.
+    """
+    share = threshold / (1 + threshold)
+    fronts = _fronts(members.select("key"), docs, threshold, width, key, text).join(members, "key")
+    fronts = store_table(_met(store_table(fronts, "fronts"), ["token"]), "fronts-met")
+    # A partner's least and greatest weight: of those, what follows the token has to hold share * (both weights).
+    rest = F.col("weight") - F.col("at")
+    least, most = threshold * F.col("weight") - 1e-6, F.least(F.col("weight") / threshold, rest / share - F.col("weight")) + 1e-6
+
+    def step(w: Column) -> Column:
+        return F.floor(F.log(w) / math.log(_STEP)).cast("int")
+
+    fronts = fronts.where(most >= least)
+    classed = fronts.where(F.col("n") > _HOT).drop("n", "main").withColumn("c", step(F.col("weight")))
+    classed = classed.withColumn("d", F.explode(F.sequence(step(F.greatest(least, F.lit(1.0))), step(F.greatest(most, F.lit(1.0))))))
+    classed = store_table(classed.select("key", "weight", "root", "token", "at", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")), "fronts-classed")
+    few = fronts.where(F.col("n") <= _HOT).withColumns({"c": F.lit(-1), "d": F.lit(-1)})
+    rows = store_table(few.unionByName(_met(classed, ["token", "c", "d"])), "fronts-met")
+    blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
+    right = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    left = rows.where(F.col("root") != F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = left.select("token", "c", "d", "block", *[F.col(x).alias(f"{x}2") for x in ("key", "weight", "root", "at")])
+    enough = F.least(rest, F.col("weight2") - F.col("at2")) >= share * (F.col("weight") + F.col("weight2")) - 1e-6
+    once = (F.col("root") == F.col("main")) | (F.col("key") < F.col("key2"))
+    return right.join(left, ["token", "c", "d", "block"]).where((F.col("root") != F.col("root2")) & once & enough).select(
+        F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, darts: Darts | None = None,
     few: int = FEW, key: str = "doc_id", text: str = "text",
@@ -185,41 +287,42 @@ def near_duplicates(
     degrees = store_table(members.groupBy("key").agg(F.sum("n").alias("degree")), "degrees")
     members = members.drop("n")
     links = done = labels = None
-    for level in range(LEVELS + 1):
-        for central in (True, False):
-            pairs = _star(members.join(degrees, "key") if central else members, threshold, central)
-            pairs = store_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-            links, done, labels = _add(pairs, links, done, labels, docs, threshold, width, key, text)
-            placed = members = store_table(
-                members.drop("root").join(labels.select(F.col("node").alias("key"), "root"), "key", "left")
-                .withColumn("root", F.coalesce("root", "key")),
-                "placed")
-        state = (
-            placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-            .agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
-            .where(F.col("classes") > 1)
-            .select("bucket", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("outside"))
-        )
-        state = store_table(state, "unsettled")
-        many = F.col("outside") > few if level < LEVELS else F.lit(False)
-        rest = placed.join(state.where(~many), "bucket").select("bucket", "key", "weight", "root", "main")
-        rest = store_table(rest.join(reps.select("key", "cells"), "key"), "unsettled-members")
-        outside = rest.where(F.col("root") != F.col("main")).select("bucket", *[F.col(c).alias(f"{c}2") for c in ("key", "weight", "root", "cells")])
-        apart = (
-            rest.join(outside, "bucket").where(
-                (F.col("root") != F.col("root2")) & _near_weight(threshold, "weight", "weight2")
-                & ~cannot_reach(threshold, "weight", "cells", "weight2", "cells2"))
-            .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        )
-        links, done, labels = _add(store_table(apart, "pairs"), links, done, labels, docs, threshold, width, key, text)
-        large = state.where(many).select("bucket")
-        if level == LEVELS or large.isEmpty():
-            break
-        split = placed.join(large, "bucket", "left_semi").select("bucket", "band", "key", "weight", "root").join(reps.select("key", "bands"), "key")
-        finer = split.select("key", "weight", "root", "band", F.col("bucket").alias("first"), F.posexplode("bands").alias("band2", "second"))
+    for central in (True, False):
+        pairs = _star(members.join(degrees, "key") if central else members, threshold, central)
+        pairs = store_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        links, done, labels = _add(pairs, links, done, labels, docs, threshold, width, key, text)
         members = store_table(
-            finer.where(F.col("band2") > F.col("band")).select(
-                "key", "weight", "root", F.col("band2").alias("band"), F.xxhash64("first", "second").alias("bucket")), "buckets")
+            members.drop("root").join(labels.select(F.col("node").alias("key"), "root"), "key", "left")
+            .withColumn("root", F.coalesce("root", "key")),
+            "placed")
+    state = (
+        members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
+        .where(F.col("classes") > 1)
+        .select("bucket", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("outside"))
+    )
+    state = store_table(state, "unsettled")
+    rest = members.join(state.where(F.col("outside") <= few), "bucket").select("bucket", "key", "weight", "root", "main")
+    rest = store_table(rest.join(reps.select("key", "cells"), "key"), "unsettled-members")
+    outside = rest.where(F.col("root") != F.col("main")).select("bucket", *[F.col(c).alias(f"{c}2") for c in ("key", "weight", "root", "cells")])
+    apart = (
+        rest.join(outside, "bucket").where(
+            (F.col("root") != F.col("root2")) & _near_weight(threshold, "weight", "weight2")
+            & ~cannot_reach(threshold, "weight", "cells", "weight2", "cells2"))
+        .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    )
+    links, done, labels = _add(store_table(apart, "pairs"), links, done, labels, docs, threshold, width, key, text)
+    large = members.join(state.where(F.col("outside") > few).select("bucket"), "bucket", "left_semi").select("key").distinct()
+    large = store_table(large.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "large")
+    if not large.isEmpty():
+        met = store_table(_prefix_pairs(large, docs, threshold, width, key, text).join(done, ["a", "b"], "left_anti"), "met")
+        held = reps.select("key", "weight", "cells")
+        met = (
+            met.join(held.select(*[F.col(c).alias(n) for c, n in (("key", "a"), ("weight", "weight"), ("cells", "cells"))]), "a")
+            .join(held.select(*[F.col(c).alias(n) for c, n in (("key", "b"), ("weight", "weight2"), ("cells", "cells2"))]), "b")
+            .where(~cannot_reach(threshold, "weight", "cells", "weight2", "cells2")).select("a", "b").distinct()
+        )
+        links, done, labels = _add(store_table(met, "pairs"), links, done, labels, docs, threshold, width, key, text)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     classes = (
         reps.select("content", "copies", "key")

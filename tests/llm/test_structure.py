@@ -177,6 +177,30 @@ def test_near_duplicates_planted(spark, few):
     assert got == brute_classes(texts)
 
 
+@pytest.mark.parametrize(("hot", "block"), [(64, 2048), (3, 8)])
+def test_near_duplicates_of_one_large_bucket(spark, monkeypatch, hot, block):
+    """One band only, so that pairs within large buckets of texts over a template have no second band."""
+    monkeypatch.setattr(neardup, "_HOT", hot)
+    monkeypatch.setattr(neardup, "_BLOCK", block)
+    pick, darts = random.Random(13), dartminhash.Darts(bands=1, rows=1)
+    word = lambda: f"w{pick.randint(0, 5000)}"
+    template, texts = [word() for _ in range(120)], []
+    for i in range(80):
+        body = template + [word() for _ in range(pick.randint(20, 60))]
+        near = body.copy()
+        near[pick.randrange(len(near))] = word()
+        texts += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(near + [word()] * pick.randint(0, 3)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs, darts=darts, few=2).collect()}
+    bands = {r["key"]: r["bands"][0] for r in neardup.signatures(docs, darts).collect()}
+    assert max(collections.Counter(bands.values()).values()) > 20
+    sets = {i: dartminhash.Shingler(5).weighted(neardup.words_of(t)) for i, t in texts}
+    alike = [(i, j) for i in sets for j in sets if i < j and bands[i] == bands[j] and dartminhash.weighted_jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(alike) > 20 and all(got[i] == got[j] for i, j in alike)
+    brute = brute_classes(texts)
+    assert all(brute[i] == brute[c] for i, c in got.items())
+
+
 def test_near_duplicate_edges(spark, odd):
     got = neardup.near_duplicates(odd).collect()
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (7, 7), (8, 7), (9, 9)]
