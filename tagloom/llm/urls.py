@@ -5,17 +5,17 @@ fitted to the accepted and one to the rejected. The others are judged by the
 difference of their log-likelihoods per character against a threshold
 calibrated on examples that the models have not seen.
 
-All examples are counted, so the counts follow the input; a context or a
-continuation stays in the model only if it makes up ``min_share`` of all
-examples' characters, which bounds each order to 1/``min_share`` entries at any
-size and makes the order variable: long contexts live where the data carry them.
+All examples are counted and every context and continuation stays in the model,
+so what the models hold follows the input. A model of few n-grams is looked up
+row by row; a larger one stays in tables, which the distinct n-grams of the
+distinct URLs are joined with. Both ways give the same differences.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tagloom.session import store_table
 
 ORDER = 5
+# Models of at most so many n-grams are sent to tasks as dictionaries.
+LOCAL_GRAMS = 300_000
 BEGIN, END = "\x02", "\x03"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,15 +70,20 @@ def shape(host: str, path: str) -> Column:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Witten-Bell estimates of both models; ``contexts`` by context, ``children`` by context and character."""
+    """Witten-Bell estimates of both models; ``contexts`` by context, ``children`` by context and character.
+
+    A large model has both as ``tables`` instead: ``context`` with ``sy``, ``sx``,
+    ``dy`` and ``dx``, and ``gram`` with ``y`` and ``x``.
+    """
 
     contexts: dict[str, tuple[int, int, int, int]]
     children: dict[str, tuple[int, int]]
     alphabet: int
     threshold: float
+    tables: tuple[DataFrame, DataFrame] | None = None
 
 
-def fit(examples: DataFrame, text: str = "text", accepted: str = "accepted", min_share: float = 2e-5, folds: int = 5) -> UrlModel:
+def fit(examples: DataFrame, text: str = "text", accepted: str = "accepted", folds: int = 5) -> UrlModel:
     """Fit and calibrate on all ``examples`` (``text`` as ``shape`` gives it, boolean ``accepted``).
 
     Equal texts are counted together first, so that repeated URLs cost nothing.
@@ -102,26 +109,27 @@ def fit(examples: DataFrame, text: str = "text", accepted: str = "accepted", min
         taught.select(yes.alias("y"), no.alias("x"), F.explode(grams(F.col("t"))).alias("gram"))
         .groupBy("gram").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
     )
-    total = taught.agg(F.sum(F.col("n") * (F.length("t") - 1))).first()[0] or 0
-    least = max(1, math.ceil(total * min_share))
-    kept = pairs.where(F.col("y") + F.col("x") >= least).orderBy("gram").toPandas()  # at most (ORDER + 1) / min_share rows
-    children = {g: (int(y), int(x)) for g, y, x in zip(kept["gram"], kept["y"], kept["x"], strict=True)}
-    contexts: dict[str, list[int]] = {}
-    for gram, (y, x) in children.items():
-        sums = contexts.setdefault(gram[:-1], [0, 0, 0, 0])
-        sums[0] += y
-        sums[1] += x
-        sums[2] += y > 0
-        sums[3] += x > 0
-    top = contexts.get("", [0, 0, 0, 0])
-    model = UrlModel({c: tuple(v) for c, v in contexts.items()}, children, 1 + sum(len(g) == 1 for g in children), 0.0)
-    if not top[0] or not top[1]:
+    pairs = store_table(pairs, "url-grams")
+    totals = pairs.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(
+        F.sum("y").alias("sy"), F.sum("x").alias("sx"),
+        F.sum((F.col("y") > 0).cast("long")).alias("dy"), F.sum((F.col("x") > 0).cast("long")).alias("dx"))
+    totals = store_table(totals, "url-contexts")
+    top = totals.where(F.col("context") == "").first()
+    if top is None or not top["sy"] or not top["sx"]:
         return UrlModel({}, {}, 1, 0.0)
+    alphabet = 1 + pairs.where(F.length("gram") == 1).count()
+    if pairs.count() <= LOCAL_GRAMS:
+        kept, sums = pairs.toPandas(), totals.toPandas()
+        children = {g: (int(y), int(x)) for g, y, x in zip(kept["gram"], kept["y"], kept["x"], strict=True)}
+        contexts = {c: (int(sy), int(sx), int(dy), int(dx)) for c, sy, sx, dy, dx in sums.itertuples(index=False)}
+        model = UrlModel(contexts, children, alphabet, 0.0)
+    else:
+        model = UrlModel({}, {}, alphabet, 0.0, (totals, pairs))
     step = 0.01
     held = score(counted.where(F.col("fold") == 0), model, ["a", "n"], "t").select(
         F.greatest(F.least(F.round(F.col("difference") / step), F.lit(1000)), F.lit(-1000)).cast("int").alias("bin"), "a", "n")
     bins = held.groupBy("bin").agg(F.sum(yes).alias("y"), F.sum(no).alias("x")).toPandas().sort_values("bin")
-    return UrlModel(model.contexts, model.children, model.alphabet, step * _best_cut(bins))
+    return replace(model, threshold=step * _best_cut(bins))
 
 
 def _best_cut(bins: pd.DataFrame) -> float:
@@ -173,6 +181,10 @@ class Judge:
 
 def score(urls: DataFrame, model: UrlModel, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns and ``difference`` (above 0: likelier accepted); null and empty texts get 0."""
+    if model.tables is not None:
+        rows = urls.select(*keep, F.col(text).alias("__text"))
+        found = _differences(urls.select(F.col(text).alias("__text")), model)
+        return rows.join(found, "__text", "left").select(*keep, F.coalesce("__difference", F.lit(0.0)).alias("difference"))
 
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = Judge(model)
@@ -182,7 +194,39 @@ def score(urls: DataFrame, model: UrlModel, keep: list[str], text: str) -> DataF
     return urls.select(*keep, F.pandas_udf(apply, "double")(F.col(text)).alias("difference"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", min_share: float = 2e-5) -> DataFrame:
+def _differences(texts: DataFrame, model: UrlModel) -> DataFrame:
+    """``__difference`` of each distinct ``__text`` of two characters or more, from a model in tables.
+
+    Estimates are made once for a distinct n-gram. A context that was seen was
+    seen with every shorter one, so the contexts that are found are those the
+    estimate goes through.
+    """
+    totals, pairs = model.tables
+    texts = store_table(texts.where(F.length("__text") > 1).distinct(), "url-texts")
+    at = F.explode(F.sequence(F.lit(2), F.length("__text"))).alias("at")
+    gram = F.expr(f"substring(__text, greatest(at - {ORDER}, 1), least(at, {ORDER + 1}))")
+    # Two hashes stand for a text, so that it is not moved once a character.
+    name = [F.xxhash64("__text").alias("h1"), F.xxhash64(F.lit(1), "__text").alias("h2")]
+    places = store_table(
+        texts.select("__text", *name, at).select("h1", "h2", gram.alias("gram")).groupBy("h1", "h2", "gram").agg(F.count(F.lit(1)).alias("n")),
+        "url-places")
+    wanted = store_table(places.select("gram").distinct(), "url-wanted")
+    ends = wanted.select("gram", F.explode(F.expr("transform(sequence(1, length(gram)), m -> substring(gram, length(gram) - m + 1, m))")).alias("end"))
+    known = ends.select("end").distinct().withColumn("context", F.expr("substring(end, 1, length(end) - 1)")).join(totals, "context").join(
+        pairs.withColumnRenamed("gram", "end"), "end", "left").na.fill(0, ["y", "x"]).drop("context")
+    levels = ends.join(store_table(known, "url-known"), "end").groupBy("gram").agg(
+        F.array_sort(F.collect_list(F.struct(F.length("end").alias("m"), "y", "x", "sy", "sx", "dy", "dx"))).alias("levels"))
+
+    def estimate(seen: str, sums: str, kinds: str) -> Column:
+        return F.aggregate("levels", F.lit(1.0 / model.alphabet), lambda p, v: F.when(
+            v[sums] > 0, (v[seen] + v[kinds] * p) / (v[sums] + v[kinds])).otherwise(p))
+
+    steps = store_table(levels.select("gram", (F.log(estimate("y", "sy", "dy")) - F.log(estimate("x", "sx", "dx"))).alias("step")), "url-steps")
+    sums = places.join(steps, "gram").groupBy("h1", "h2").agg((F.sum(F.col("n") * F.col("step")) / F.sum("n")).alias("__difference"))
+    return store_table(texts.select("__text", *name).join(sums, ["h1", "h2"]).select("__text", "__difference"), "url-differences")
+
+
+def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
     """``key``, ``host``, ``path``, ``rule``, ``verdict`` and ``difference`` of every row.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule
@@ -195,7 +239,7 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
         "*", longest_rule(rules, "host", "path", lambda r: r.text).alias("rule"),
         longest_rule(rules, "host", "path", lambda r: r.action).alias("action"), shape("host", "path").alias("text"))
     examples = ruled.where(F.col("action").isNotNull()).select("text", (F.col("action") == "allow").alias("accepted"))
-    model = fit(examples, min_share=min_share)
+    model = fit(examples)
     judged = score(ruled, model, ["page_id", "host", "path", "rule", "action"], "text")
     by_model = F.when(F.col("difference") >= model.threshold, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("action", by_model).alias("verdict"), "difference")

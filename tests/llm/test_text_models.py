@@ -117,3 +117,19 @@ def test_url_model_generalises(spark):
     got = queries.op7_url_filter(spark, SF).where(F.col("rule").isNotNull()).toPandas()
     right = ((got["difference"] > 0) == (got["verdict"] == "allow")).mean()
     assert right > 0.95
+
+
+def test_url_model_keeps_every_gram(spark, monkeypatch):
+    """A host seen ten times among 1,500,000 characters is in the model; a model in tables gives the same differences."""
+    texts = [("\x02" + "ab" * 50 + "\x03", i % 2 == 0, 7500) for i in range(2)] + [("\x02zq.xy/\x03", True, 5), ("\x02zq.xv/\x03", False, 5)]
+    frame = spark.createDataFrame(texts, "text string, accepted boolean, n int")
+    frame = frame.select(F.explode(F.sequence(F.lit(1), F.col("n"))), "text", "accepted").drop("col")
+    local = urls.fit(frame, folds=1_000_003)
+    assert local.children["q.xy/\x03"] == (5, 0) and local.contexts["zq.x"] == (5, 5, 1, 1)
+    monkeypatch.setattr(urls, "LOCAL_GRAMS", 0)
+    large = urls.fit(frame, folds=1_000_003)
+    assert large.tables is not None and large.threshold == local.threshold
+    asked = spark.createDataFrame([(1, "\x02zq.xy/\x03"), (2, "\x02zq.xv/\x03"), (3, None), (4, ""), (5, "\x02newé\x03"), (6, "\x02zq.xy/\x03")], "i int, t string")
+    one = {r["i"]: r["difference"] for r in urls.score(asked, local, ["i"], "t").collect()}
+    two = {r["i"]: r["difference"] for r in urls.score(asked, large, ["i"], "t").collect()}
+    assert one[1] > 0.05 and one[2] < -0.05 and two == pytest.approx(one, abs=1e-12)
