@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import fingerprints, langid, neardup, packing, pieces, quality, quotes, tokens, toxicity, urls
+from tagloom.llm import centroids, fingerprints, langid, neardup, packing, pieces, quality, quotes, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -128,3 +128,16 @@ t AS (SELECT p.conv_id, p.turn, p.role, p.text, p.b1 AS parent_turn,
     (p.b1 IS NOT NULL)::BIGINT + (p.b2 IS NOT NULL)::BIGINT AS n FROM p)
 SELECT conv_id, turn, role, parent_turn, 0::BIGINT AS root_turn, turn::INTEGER AS depth, n AS quotes, n AS linked,
     turn::INTEGER AS position, trim(text, ' ' || chr(10) || chr(9)) AS text FROM t"""
+
+
+VECTOR_SIZE, CLUSTERS, ROUNDS = 64, 40, 5
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of all whole vectors after five rounds."""
+    vectors = store_table(centroids.integer_vectors(table(spark, d, "embeddings"), VECTOR_SIZE), "vectors")
+    return centroids.with_inertia(centroids.cluster(vectors, CLUSTERS, ROUNDS))
+
+
+ORACLES["op11_centroid_clustering"] = centroids.oracle_sql(CLUSTERS, ROUNDS, VECTOR_SIZE)
