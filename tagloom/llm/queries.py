@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import centroids, fingerprints, langid, neardup, packing, pieces, quality, quotes, tokens, toxicity, urls
+from tagloom.llm import centroids, fingerprints, langid, neardup, packing, pieces, quality, quotes, suffixes, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -141,3 +141,12 @@ def op11_centroid_clustering(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["op11_centroid_clustering"] = centroids.oracle_sql(CLUSTERS, ROUNDS, VECTOR_SIZE)
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the passages of 50 bytes or more that an earlier one holds."""
+    found = suffixes.remove_repeats(table(spark, d, "documents"), 50)
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
