@@ -27,6 +27,9 @@ from tagloom.session import store_table
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies of 50,257 ids.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Fixed value: the added token of that vocabulary.
+SPECIAL_TOKENS = (("<|endoftext|>", 50256),)
+
 CACHE_WORDS = 300_000
 _LOOSE_SPACE = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -36,20 +39,42 @@ class WordCachedBpe:
     """Ids of whole texts as little-endian 32-bit words.
 
     ``ranks_path`` names the vocabulary as ranks (base64 bytes and id a line).
-    Strings of special tokens inside a text are ordinary text.
+    ``special`` tokens are cut out of a text first and have their own ids, as in
+    the tokenizers library; with none, their strings are ordinary text.
     """
 
-    def __init__(self, ranks_path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, ranks_path: str, cache_words: int = CACHE_WORDS, special: tuple[tuple[str, int], ...] = SPECIAL_TOKENS):
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self._ranks = ranks
         self._bpe = tiktoken.Encoding("bpe", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._cache: dict[str, bytes] = {}
         self._most = cache_words
+        self._special = {name: number.to_bytes(4, "little") for name, number in special}
+        self._cut = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True)))) if special else None
+
+    def surface(self) -> list[bytes]:
+        """The bytes of every id; ids that are no rank have none."""
+        found = [b""] * (max(self._ranks.values()) + 1)
+        for token, rank in self._ranks.items():
+            found[rank] = token
+        return found
 
     def _alone(self, text: str) -> bytes:
         return np.array(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self._cut is None or not self._cut.search(text):
+            return self._ordinary(text)
+        found, start = [], 0
+        for hit in self._cut.finditer(text):
+            found += [self._ordinary(text[start : hit.start()]), self._special[hit.group()]]
+            start = hit.end()
+        return b"".join([*found, self._ordinary(text[start:])])
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         words = _CUT.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
