@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import centroids, fingerprints, langid, neardup, packing, pieces, quality, quotes, suffixes, tokens, toxicity, urls
+from tagloom.llm import alignment, centroids, fingerprints, langid, neardup, packing, pieces, quality, quotes, suffixes, tokens, toxicity, urls
 from tagloom.llm.common import id_fold, table
 from tagloom.session import store_table
 
@@ -150,3 +150,10 @@ def op12_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
+
+
+@query
+def op13_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's tokens of two tokenizers linked by their bytes, and how common the links are."""
+    aligned = store_table(alignment.align(table(spark, d, "documents"), BPE_RANKS, PIECES, ["doc_id"]), "aligned")
+    return alignment.with_counts(aligned, store_table(alignment.pair_counts(aligned), "pair-counts"))
