@@ -18,8 +18,8 @@ on Spark sorts (rank, position) rows and ranks are compared between neighbours:
    the first document of its equals is smaller.
 
 Sorting is by ranges of (ranks, document), so a passage that a third of all
-documents hold is spread over tasks; where a range starts inside such a group its
-rows are compared with the group's smallest document by a join. Windows are equal
+documents hold is spread over tasks; where a range starts inside such a group, the
+rows of its first document are compared with the range before by a join. Windows are equal
 when 128 bits of ranks are. Shuffled rows are bounded by the text, not by pairs.
 
 Null texts are empty; texts shorter than the length are kept whole. Rows that
@@ -185,11 +185,12 @@ LATER, HELD, EDGE = 0, 1, 2
 def _neighbours(hold_first: bool):
     """Rows of one sorted range that matter, with ``kind``.
 
-    LATER: a smaller document holds the same (a, b). EDGE: the group of the
-    range's first row, which may begin in the range before; also one row for the
-    last group, with a negative place, for the range after. With ``hold_first``,
-    HELD: the first document's rows of a group that shares ``a`` with another
-    one, or may do so across the border of a batch or range (EDGE rows as well).
+    LATER: a smaller document holds the same (a, b). EDGE: the first document's
+    rows in the group of the range's first row, which may begin in a range before;
+    also one row for the last group, with a negative place, for the range after.
+    With ``hold_first``, HELD: the first document's rows of a group that shares
+    ``a`` with another one, or may do so across the border of a batch or range
+    (EDGE rows as well).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def _neighbours(hold_first: bool):
             group = np.cumsum(new)  # 0: the last batch's group goes on
             first = np.append(last[2] if last is not None else 0, doc[heads])[group]
             later = doc > first
-            is_edge = group <= (0 if last is not None else 1) if edge else np.zeros(len(a), dtype=bool)
+            is_edge = ~later & (group <= (0 if last is not None else 1)) if edge else np.zeros(len(a), dtype=bool)
             kind = np.where(is_edge, EDGE, LATER)
             take = later | is_edge
             if hold_first:
