@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.features import long_features, to_vectors
-from tagloom.session import broadcast_if_small, scratch_path
+from tagloom.operators import ovr
+from tagloom.session import scratch_path, store_table
 
 # Defaults of the linear model.
 INVERSE_REGULARISATION, MAX_ITERATIONS = 2.0, 400
-BIAS_FEATURE = -1
-ROWS_PER_TASK = 2000
-# A model of so many features × labels is held whole by each task (128 MB).
+# Features × labels that a scoring task holds at a time (128 MB).
 DENSE_CELLS = 16_000_000
 WEIGHT_SCHEMA = "idx int, feature_id int, weight double"
 INTERCEPT_SCHEMA = "idx int, intercept double, constant double"
@@ -49,121 +44,125 @@ def fit_ovr_logreg(
     c: float = INVERSE_REGULARISATION,
     max_iter: int = MAX_ITERATIONS,
     balanced: bool = False,
-    threads: int = 8,
     tol: float = 1e-4,
+    cells: int = ovr.FIT_CELLS,
 ) -> OvrModel:
-    """One independent L2 logistic regression per label.
+    """One independent L2 logistic regression per label, fitted in blocks of labels.
 
-    ``features`` has ``labels_idx``, ``feature_ids`` and ``feature_values``.
-    All labels share one persisted vector table; a few fits run at a time, and
-    each label's weights go to the shared folder at once, so the driver never
-    holds more than ``threads`` weight vectors.
+    ``features`` has ``labels_idx``, ``feature_ids`` and ``feature_values``. Every
+    pass over the documents serves all labels of a block, ``cells`` features ×
+    labels wide; see ``ovr``. A label is done when no entry of its gradient
+    exceeds ``tol``. Finished weights go to the shared folder block by block.
     """
     spark = features.sparkSession
+    problem, found = _problem(features, c, balanced)
+    labels = sorted(r[0] for r in label_map.select("idx").collect())
+    ends = [(idx, 0.0, float(found.get(idx, 0) > 0), 0.0) for idx in labels if found.get(idx, 0) in (0, problem.n)]
     store = scratch_path(spark, "ovr")
-    vectors = to_vectors(features.select("labels_idx", "feature_ids", "feature_values"), n_features)
-    vectors = vectors.select("labels_idx", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = vectors.count()
-        if n == 0:
-            raise ValueError("cannot fit on an empty training set")
-        found = dict(
-            vectors.select(F.explode("labels_idx").alias("idx")).groupBy("idx").count().collect()
-        )
-        labels = sorted(r[0] for r in label_map.select("idx").collect())
-        # A fit is many short passes; tiny tables are not worth many tasks.
-        dense_parts = vectors.coalesce(max(1, n // ROWS_PER_TASK))
-
-        def fit_one(idx: int) -> tuple[int, float, float | None]:
-            positives = found.get(idx, 0)
-            if positives in (0, n):
-                return idx, 0.0, float(positives == n)
-            y = F.array_contains("labels_idx", idx)
-            share = F.when(y, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
-            rows = dense_parts.select(
-                "features", y.cast("double").alias("y"), (share if balanced else F.lit(1.0)).alias("w")
-            )
-            model = LogisticRegression(
-                featuresCol="features", labelCol="y", weightCol="w", maxIter=max_iter, tol=tol,
-                regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, family="binomial",
-            ).fit(rows)
-            weights = model.coefficients.toArray()
-            used = np.flatnonzero(weights)
-            table = pd.DataFrame({"feature_id": used.astype("int32"), "weight": weights[used]})
-            rows = spark.createDataFrame(table, "feature_id int, weight double").coalesce(1)
-            rows.write.mode("overwrite").parquet(f"{store}/idx={idx}")
-            return idx, float(model.intercept), None
-
-        with ThreadPoolExecutor(threads) as pool:
-            ends = list(pool.map(fit_one, labels))
-    finally:
-        vectors.unpersist()
-    if any(constant is None for _, _, constant in ends):
-        weights = spark.read.schema(WEIGHT_SCHEMA).parquet(store).select("idx", "feature_id", "weight")
-    else:
-        weights = spark.createDataFrame([], WEIGHT_SCHEMA)
-    return OvrModel(weights, spark.createDataFrame(ends, INTERCEPT_SCHEMA), n_features)
-
-
-def predict_ovr(model: OvrModel, features: DataFrame, key: str, name: str = "scores") -> DataFrame:
-    """(key, scores ARRAY<FLOAT>): probability of every label, in one pass.
-
-    A model of at most ``DENSE_CELLS`` features × labels is one matrix in each
-    task, and a document is the product of its non-zeros with it: no row is
-    exploded and nothing is shuffled. A larger model is joined by feature.
+    waiting: list[pd.DataFrame] = []
+    files = 0
+
+    def write() -> None:
+        nonlocal files
+        rows = spark.createDataFrame(pd.concat(waiting), WEIGHT_SCHEMA)
+        rows.coalesce(1).write.parquet(f"{store}/part={files}")
+        waiting.clear()
+        files += 1
+
+    steep = [idx for idx in labels if found.get(idx, 0) not in (0, problem.n)]
+    for idx, weights, gradient in ovr.minimise(problem, n_features, steep, tol, max_iter, cells):
+        used = np.flatnonzero(weights[:-1])
+        waiting.append(pd.DataFrame({"idx": np.int32(idx), "feature_id": used.astype("int32"), "weight": weights[used]}))
+        ends.append((idx, float(weights[-1]), None, gradient))
+        if sum(map(len, waiting)) >= cells:
+            write()
+    if waiting:
+        write()
+    table = spark.read.schema(WEIGHT_SCHEMA).parquet(store).select("idx", "feature_id", "weight") if files else spark.createDataFrame([], WEIGHT_SCHEMA)
+    return OvrModel(table, spark.createDataFrame([e[:3] for e in ends], INTERCEPT_SCHEMA), n_features)
+
+
+def _problem(features: DataFrame, c: float, balanced: bool) -> tuple[ovr.Problem, dict[int, int]]:
+    """The stored problem and the number of documents of every label."""
+    own = features.withColumn("labels_idx", F.array_distinct("labels_idx"))
+    blocks = ovr.sparse_blocks(own)
+    n = blocks.agg(F.sum("n")).first()[0] or 0
+    if n == 0:
+        raise ValueError("cannot fit on an empty training set")
+    found = dict(own.select(F.explode("labels_idx").alias("idx")).groupBy("idx").count().collect())
+    share = {idx: (n / (2.0 * (n - p)), n / (2.0 * p)) for idx, p in found.items() if 0 < p < n} if balanced else {}
+    return ovr.Problem(blocks, n, 1.0 / (c * n), share), found
+
+
+def gradient_norms(model: OvrModel, features: DataFrame, c: float = INVERSE_REGULARISATION, balanced: bool = False) -> DataFrame:
+    """(idx, docs, positives, constant, gradient): how far each label is from its optimum.
+
+    The largest gradient entry at the model's weights over ``features``; null for
+    constant labels. A label block a pass.
+    """
+    problem, found = _problem(features, c, balanced)
+    ends = model.intercepts.orderBy("idx").toPandas()
+    out = [(int(r.idx), problem.n, found.get(r.idx, 0), r.constant, None) for r in ends[ends["constant"].notna()].itertuples()]
+    for part, matrix in _label_blocks(model, ends[ends["constant"].isna()], ovr.FIT_CELLS):
+        _, gradient = problem.at(np.vstack([matrix, part["intercept"].to_numpy(float)]), part["idx"].to_numpy())
+        worst = np.abs(gradient).max(axis=0)
+        out += [(int(i), problem.n, found.get(i, 0), None, float(g)) for i, g in zip(part["idx"], worst, strict=True)]
+    return features.sparkSession.createDataFrame(out, "idx int, docs long, positives long, constant double, gradient double")
+
+
+def _label_blocks(model: OvrModel, ends: pd.DataFrame, cells: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows of ``ends``, features × labels matrix) for as many labels at once as ``cells`` allow."""
+    width = max(1, cells // max(model.n_features, 1))
+    for low in range(0, len(ends), width):
+        part = ends.iloc[low : low + width]
+        place = {idx: at for at, idx in enumerate(part["idx"])}
+        rows = model.weights.where(F.col("idx").isin([int(i) for i in place])).toPandas()
+        matrix = np.zeros((model.n_features, len(part)))
+        np.add.at(matrix, (rows["feature_id"].to_numpy(), rows["idx"].map(place).to_numpy(dtype=np.int64)), rows["weight"].to_numpy())
+        yield part, matrix
+
+
+def predict_ovr(model: OvrModel, features: DataFrame, key: str, name: str = "scores", cells: int | None = None) -> DataFrame:
+    """(key, scores ARRAY<FLOAT>): probability of every label.
+
+    The model is cut into blocks of labels of at most ``cells`` (``DENSE_CELLS``)
+    features × labels. A task holds one block and multiplies an Arrow batch of
+    sparse rows with it. One block is a narrow pass. With more, each block is a
+    pass of its own that stores one array per document, and the arrays of a row
+    are put together at the end; non-zeros never meet labels as rows. Repeated
+    keys keep their own rows.
     """
-    n_labels = model.intercepts.count()
-    if model.n_features and n_labels and model.n_features * n_labels <= DENSE_CELLS:
-        return _predict_dense(model, features, key, name)
-    return _predict_joined(model, features, key, name)
-
-
-def _predict_dense(model: OvrModel, features: DataFrame, key: str, name: str) -> DataFrame:
     ends = model.intercepts.orderBy("idx").toPandas()
-    place = {idx: at for at, idx in enumerate(ends["idx"])}
-    cells = model.weights.toPandas()
-    matrix = np.zeros((model.n_features, len(ends)))
-    known = cells["idx"].isin(place.keys())
-    np.add.at(matrix, (cells["feature_id"][known], cells["idx"][known].map(place).astype(int)), cells["weight"][known])
+    width = max(1, (cells or DENSE_CELLS) // max(model.n_features, 1))
+    if len(ends) <= width:
+        for part, matrix in _label_blocks(model, ends, cells or DENSE_CELLS):
+            return features.select(key, _scorer(features.sparkSession, part, matrix)("feature_ids", "feature_values").alias(name))
+        return features.select(key, F.array().cast("array<float>").alias(name))
+    # The row number is stored with the rows, so that all blocks see the same one.
+    rows = store_table(features.select(key, "feature_ids", "feature_values").withColumn("__row", F.monotonically_increasing_id()), "to-score")
+    parts = []
+    for number, (part, matrix) in enumerate(_label_blocks(model, ends, cells or DENSE_CELLS)):
+        score = _scorer(features.sparkSession, part, matrix)("feature_ids", "feature_values").alias("part")
+        parts.append(store_table(rows.select("__row", F.lit(number).alias("number"), score), "scored-block"))
+    together = parts[0]
+    for block in parts[1:]:
+        together = together.unionByName(block)
+    listed = F.array_sort(F.collect_list(F.struct("number", "part")))
+    scores = together.groupBy("__row").agg(F.flatten(F.transform(listed, lambda e: e["part"])).alias(name))
+    return rows.select("__row", key).join(scores, "__row").select(key, name)
+
+
+def _scorer(spark: SparkSession, ends: pd.DataFrame, matrix: np.ndarray):
     bias, constant = ends["intercept"].to_numpy(dtype=float), ends["constant"].to_numpy(dtype=float)
+    sent = spark.sparkContext.broadcast((matrix, bias, constant))
 
     @F.pandas_udf("array<float>")
     def score(ids: pd.Series, values: pd.Series) -> pd.Series:
-        def one(i: np.ndarray, v: np.ndarray) -> np.ndarray:
-            z = bias + np.asarray(v, dtype=float) @ matrix[np.asarray(i, dtype=int)] if len(i) else bias
-            return np.where(np.isnan(constant), 1 / (1 + np.exp(-np.clip(z, -700, 700))), constant).astype("float32")
-
-        return pd.Series([one(i, v) for i, v in zip(ids, values, strict=True)], dtype=object)
-
-    return features.select(key, score("feature_ids", "feature_values").alias(name))
+        weights, intercepts, fixed = sent.value
+        p = ovr.sigmoid(ovr.SparseRows.of(ids, values).times(weights) + intercepts)
+        return pd.Series(list(np.where(np.isnan(fixed), p, fixed).astype("float32")), dtype=object)
 
-
-def _predict_joined(model: OvrModel, features: DataFrame, key: str, name: str) -> DataFrame:
-    """Weights grouped by feature (a list of at most K) meet the documents' non-zeros.
-
-    The intercept is a feature every document has, so empty documents score
-    too. The weight table is broadcast only below a checked number of cells;
-    otherwise Spark shuffles on the feature and AQE splits features found
-    everywhere. Sums are combined map-side.
-    """
-    cell = F.struct("idx", F.col("weight").alias("w"))
-    by_feature = model.weights.groupBy("feature_id").agg(F.collect_list(cell).alias("ws"))
-    bias = model.intercepts.agg(F.collect_list(F.struct("idx", F.col("intercept").alias("w"))).alias("ws"))
-    table = by_feature.unionByName(bias.select(F.lit(BIAS_FEATURE).alias("feature_id"), "ws"))
-    with_bias = features.select(
-        key,
-        F.concat(F.array(F.lit(BIAS_FEATURE)), "feature_ids").alias("feature_ids"),
-        F.concat(F.array(F.lit(1.0).cast("float")), "feature_values").alias("feature_values"),
-    )
-    hits = long_features(with_bias, key).join(broadcast_if_small(table, cells="ws"), "feature_id")
-    parts = hits.select(key, F.col("value").cast("double").alias("value"), F.explode("ws").alias("e")).select(
-        key, "e.idx", (F.col("value") * F.col("e.w")).alias("z")
-    )
-    margins = parts.groupBy(key, "idx").agg(F.sum("z").alias("z"))
-    known = margins.join(broadcast_if_small(model.intercepts.select("idx", "constant")), "idx")
-    p = F.coalesce("constant", 1 / (1 + F.exp(-F.col("z")))).cast("float")
-    packed = F.array_sort(F.collect_list(F.struct("idx", p.alias("p"))))
-    return known.groupBy(key).agg(F.transform(packed, lambda e: e["p"]).alias(name))
+    return score
 
 
 def save_model(model: OvrModel, path: str) -> None:
