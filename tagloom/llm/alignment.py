@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,106 +33,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.tokens import WordCachedBpe
+from tagloom.llm.tokens import ByteBpe
 from tagloom.session import store_table
 
 MARK = "▁"
-CHUNK_CHARS = 1 << 20
-MEMO_WINDOWS, CACHE_WORDS = 200_000, 200_000
+MEMO_WINDOWS = 400_000
 LOOKUP_PAIRS = 2_000_000
-_SEGMENT = re.compile(r" *[^ ]+| +")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+def piece_surface(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
+    """The bytes of every piece."""
+    return [
+        bytes([int(_BYTE_PIECE.fullmatch(model.id_to_piece(i)).group(1), 16)]) if model.is_byte(i)
+        else model.id_to_piece(i).replace(MARK, " ").encode()
+        for i in range(model.get_piece_size())
+    ]
+
+
 class PieceModel:
-    """Ids of a SentencePiece model, by words where no piece spans two words."""
+    """Ids of a SentencePiece model as little-endian 32-bit words."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str):
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
-        self.surface = [self._bytes(i, piece) for i, piece in enumerate(pieces)]
-        self._by_word = not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in pieces)
-        self._cache: dict[str, np.ndarray] = {}
-        self._most = cache_words
-
-    def _bytes(self, i: int, piece: str) -> bytes:
-        if self._model.is_byte(i):
-            return bytes([int(_BYTE_PIECE.fullmatch(piece).group(1), 16)])
-        return piece.replace(MARK, " ").encode()
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the whole text, whose words each start with their spaces."""
-        if not self._by_word or MARK in text:
-            return np.array(self._model.encode(text), dtype="<u4")
-        if len(self._cache) > self._most:
-            self._cache.clear()
-        cache, found = self._cache, []
-        # The model puts one space in front of what it is given.
-        for segment in _SEGMENT.findall(" " + text):
-            ids = cache.get(segment)
-            if ids is None:
-                ids = cache[segment] = np.array(self._model.encode(segment[1:]) if segment != " " else self._space(), dtype="<u4")
-            found.append(ids)
-        return np.concatenate(found)
-
-    def _space(self) -> list[int]:
-        return [self._model.piece_to_id(MARK)]
-
-
-def align_window(a: list[int], b: list[int], a_size: np.ndarray, b_size: np.ndarray) -> tuple[str, int, list[tuple[int, int]]]:
-    """(groups as text, number of groups, links) of tokens that spell the same bytes."""
+        self.surface = piece_surface(self._model)
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self._model.encode(text)).tobytes()
+
+
+def align_window(a: list[int], b: list[int], a_size: list[int], b_size: list[int], name: list[str]) -> tuple[str, int, list[int]]:
+    """(groups as text, number of groups, linked pairs) of two runs of tokens that spell the same bytes."""
     groups, links, i, j = [], [], 0, 0
-    first_a = first_b = 0
-    end_a, end_b = int(a_size[a[0]]), int(b_size[b[0]])
+    high, low = a[0] << 32, b[0]
+    end_a, end_b, text_a, text_b = a_size[a[0]], b_size[low], name[a[0]], name[low]
     while True:
-        links.append((a[i], b[j]))
+        links.append(high | low)
         if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
+            groups.append(f"{text_a}|{text_b}")
             i, j = i + 1, j + 1
-            first_a, first_b = i, j
             if i == len(a) or j == len(b):
                 return ";".join(groups), len(groups), links
-            end_a, end_b = end_a + int(a_size[a[i]]), end_b + int(b_size[b[j]])
+            high, low = a[i] << 32, b[j]
+            end_a, end_b, text_a, text_b = end_a + a_size[a[i]], end_b + b_size[low], name[a[i]], name[low]
         elif end_a < end_b:
             i += 1
-            end_a += int(a_size[a[i]])
+            high = a[i] << 32
+            end_a, text_a = end_a + a_size[a[i]], f"{text_a},{name[a[i]]}"
         else:
             j += 1
-            end_b += int(b_size[b[j]])
+            low = b[j]
+            end_b, text_b = end_b + b_size[low], f"{text_b},{name[low]}"
 
 
 class Aligner:
     """Aligns texts, and remembers the windows it has met."""
 
     def __init__(self, ranks_path: str, model_path: str):
-        self._a = WordCachedBpe(ranks_path, special=())
+        self._a = ByteBpe(ranks_path, special=())
         self._b = PieceModel(model_path)
         self._surface = self._a.surface(), self._b.surface
         self._size = [np.array([len(s) for s in side], dtype=np.int64) for side in self._surface]
+        self._sizes = [side.tolist() for side in self._size]
         self._spaced = [np.array([s.startswith(b" ") for s in side]) for side in self._surface]
+        self._name = [str(i) for i in range(max(map(len, self._surface)))]
         self._memo: dict[tuple[bytes, bytes], tuple] = {}
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple:
-        """(bytes or None, groups, number of groups, number of links, pairs, times)."""
-        a, b = (np.frombuffer(k, dtype="<u4").tolist() for k in key)
-        spelled = [b"".join(map(side.__getitem__, ids)) for side, ids in zip(self._surface, (a, b), strict=True)]
-        if spelled[0] != spelled[1]:
-            return None, "", 0, 0, np.empty(0, np.int64), np.empty(0, np.int64)
-        groups, n, links = align_window(a, b, *self._size)
-        pairs = np.array([(x << 32) | y for x, y in links], dtype=np.int64)
-        pairs, times = np.unique(pairs, return_counts=True)
-        return spelled[0], groups, n, len(links), pairs, times
+    def _window(self, key: tuple[bytes, bytes]) -> tuple[str, int, bytes]:
+        """(groups as text, number of groups, linked pairs)."""
+        a, b = (memoryview(k).cast("I").tolist() for k in key)
+        text, n, links = align_window(a, b, *self._sizes, self._name)
+        return text, n, array("q", links).tobytes()
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, digest of the groups, distinct pairs, times)."""
         nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
         if not text:
             return nothing
-        coded = self._a.encode(" " + text), self._b.encode(text).tobytes()
-        ids = [np.frombuffer(c, dtype="<u4") for c in coded]
-        ends = [np.cumsum(size[i]) for size, i in zip(self._size, ids, strict=True)]
-        if not len(ids[0]) or not len(ids[1]) or ends[0][-1] != ends[1][-1]:
+        coded = self._a.encode(" " + text), self._b.encode(text)
+        ids = [np.frombuffer(c, dtype=np.uint32) for c in coded]
+        whole = (" " + text).encode()
+        if any(b"".join(map(side.__getitem__, i.tolist())) != whole for side, i in zip(self._surface, ids, strict=True)):
             return nothing
+        ends = [np.cumsum(size[i]) for size, i in zip(self._size, ids, strict=True)]
         before = [np.flatnonzero(spaced[i[1:]]) for spaced, i in zip(self._spaced, ids, strict=True)]
         _, at_a, at_b = np.intersect1d(ends[0][before[0]], ends[1][before[1]], assume_unique=True, return_indices=True)
         cut_a = [0, *(4 * (before[0][at_a] + 1)).tolist(), len(coded[0])]
@@ -146,13 +130,11 @@ class Aligner:
             if window is None:
                 window = memo[key] = self._window(key)
             found.append(window)
-        spelled, groups, n_groups, n_links, pairs, times = zip(*found, strict=True)
-        if None in spelled or b"".join(spelled) != b" " + text.encode():
-            return nothing
+        groups, n_groups, links = zip(*found, strict=True)
         digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        distinct, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate(times)).astype(np.int64)
-        return len(ids[0]), len(ids[1]), sum(n_groups), sum(n_links), digest, distinct, counts
+        linked = np.frombuffer(b"".join(links), dtype=np.int64)
+        distinct, times = np.unique(linked, return_counts=True)
+        return len(ids[0]), len(ids[1]), sum(n_groups), len(linked), digest, distinct, times
 
 
 _ADDED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"

@@ -13,12 +13,12 @@ whole texts are counted and scored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +27,9 @@ from tagloom.session import store_table
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
-_WORD = re.compile(r"[^\W\d_]+")
+# A letter is a character of the Unicode category L, here and in the JVM.
 _JVM_WORD = r"\p{L}+"
+_WORD = regex.compile(_JVM_WORD)
 
 
 @dataclass(frozen=True)

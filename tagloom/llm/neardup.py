@@ -258,21 +258,61 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, threshold: float, width:
         F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
+KEY = "__key"
+
+
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with a number ``__key`` for each pair of id and text.
+
+    It is the id where the id has one text. Of several texts under one id the one
+    with the smallest hash keeps the id; the others, and rows without an id, go by
+    a hash of id and text with bit 62 set. Equal rows share a key. Texts are
+    shuffled only if there are such rows.
+    """
+    own, made = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), (1 << 62) - 1
+    ids = docs.select(F.col(key).cast("long").alias("__id"), own.alias("__own")).groupBy("__id").agg(
+        F.min("__own").alias("__first"), F.max("__own").alias("__last"))
+    mixed = store_table(ids.where(F.col("__id").isNull() | (F.col("__first") < F.col("__last"))).select("__id", "__first"), "mixed-ids")
+    plain = F.col(key).cast("long")
+    if mixed.isEmpty():
+        return docs.withColumn(KEY, plain)
+    surrogate = F.xxhash64(plain, own).bitwiseAND(F.lit(made)).bitwiseOR(F.lit(1 << 62))
+    unchanged = plain.isNotNull() & (F.col("__first").isNull() | (F.col("__first") == own))
+    marked = docs.join(mixed.where(F.col("__id").isNotNull()), plain == F.col("__id"), "left")
+    return marked.withColumn(KEY, F.when(unchanged, plain).otherwise(surrogate)).drop("__id", "__first")
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, darts: Darts | None = None,
     few: int = FEW, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs`` with a key: ``key``, ``class_id`` and ``links``.
-
-    ``class_id`` is the smallest id of all documents connected by similarities of
-    at least ``threshold``; ``links`` counts the similarities that were found
-    between the document's text and different texts while classes were joined. Null texts and texts without a word
-    are alone in their class. Rows that share an id are one document. Rows
-    without an id are left out here; an empty table gives no rows; other columns
-    are not read. Two texts at the threshold itself miss each other in every
-    band with probability (1 - 0.8^7)^32, five in ten thousand; at 0.85 or more
-    it is less than one in a hundred thousand.
+    """One row per row of ``docs``: ``key``, ``class_id`` and ``links``.
+
+    ``class_id`` is the smallest key of all documents connected by similarities of
+    at least ``threshold``. Different texts that share an id, and rows without an
+    id, are documents of their own, told apart by ``keyed``; elsewhere the key is
+    the id. ``links`` counts the similarities that were found between the
+    document's text and different texts while classes were joined. Null texts and
+    texts without a word are alone in their class. An empty table gives no rows;
+    other columns are not read. Two texts at the threshold itself miss each other
+    in every band with probability (1 - 0.8^7)^32, five in ten thousand; at 0.85
+    or more it is less than one in a hundred thousand.
     """
+    known = keyed(docs.select(key, text), key, text)
+    found = classes(known, threshold, width, darts, few, KEY, text).withColumnRenamed(KEY, "__found")
+    ids = store_table(known.select(KEY, key), "ids")
+    made = ids.where(F.col(KEY) >= F.lit(1 << 62)).distinct().withColumnRenamed(KEY, "__found")
+    if made.isEmpty():
+        return found.withColumnRenamed("__found", key)
+    named = found.join(made, "__found", "left")
+    return named.select(F.when(F.col("__found") < F.lit(1 << 62), F.col("__found")).otherwise(F.col(key)).alias(key), "class_id", "links")
+
+
+def classes(
+    docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, darts: Darts | None = None,
+    few: int = FEW, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """The classes of ``near_duplicates`` for rows of which ``key`` names the text; null keys are left out."""
     darts = darts or Darts()
     signed = store_table(signatures(docs, darts, width, key, text), "signatures")
     first = signed.groupBy("content").agg(
@@ -324,14 +364,14 @@ def near_duplicates(
         )
         links, done, labels = _add(store_table(met, "pairs"), links, done, labels, docs, threshold, width, key, text)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
-    classes = (
+    placed = (
         reps.select("content", "copies", "key")
         .join(labels.select(F.col("node").alias("key"), "root"), "key", "left").join(degree, "key", "left")
         .select("content", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
         .where((F.col("copies") > 1) | (F.col("links") > 0))
     )
     ids = docs.select(F.col(key).cast("long").alias("key")).where(F.col("key").isNotNull())
-    found = signed.select("key", "content").join(classes, "content", "left").select(
+    found = signed.select("key", "content").join(placed, "content", "left").select(
         "key", F.coalesce("root", "key").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     wordless = ids.join(signed.select("key"), "key", "left_anti").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("links"))
     return found.unionByName(wordless).withColumnRenamed("key", key)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm.common import small_batches
-from tagloom.llm.tokens import WordCachedBpe
+from tagloom.llm.tokens import ByteBpe
 
 # Items of one packing group; the mean of what the hash deals to it.
 GROUP_ITEMS = 16_384
@@ -90,7 +90,7 @@ def pack(items: DataFrame, length: str = "length", capacity: Capacity | None = N
 
     ``items`` should be a stored table: it is counted once to size the groups.
     Items that fill a sequence by themselves take one each without any shuffle.
-    Null lengths count as 0 tokens. Repeated rows are separate items and are
+    Null lengths count as 0 tokens. Items of equal length are taken in the order of their plain columns. Repeated rows are separate items and are
     dealt apart by their place in the table, so no key can be hot. An empty
     table gives an empty result. Columns of ``items`` named ``sequence_id``,
     ``offset`` or ``__group`` raise.
@@ -107,7 +107,10 @@ def pack(items: DataFrame, length: str = "length", capacity: Capacity | None = N
     )
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    order = [f.name for f in items.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, ignore_index=True)  # rows arrive in no fixed order
         bins, offsets = best_fit(rows[length].fillna(0).to_numpy().astype(np.int64), capacity)
         return rows.drop(columns="__group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
@@ -129,7 +132,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, most: int = 2048, end_id: int
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordCachedBpe(ranks_path)
+        bpe = ByteBpe(ranks_path)
         for batch in batches:
             rows = []
             for key, content in zip(batch["doc_id"], batch["text"], strict=True):

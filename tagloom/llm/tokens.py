@@ -1,10 +1,5 @@
 """Exact byte-level BPE ids and the exact histogram of encoded lengths.
 
-``WordCachedBpe`` encodes word by word with a bounded cache. A byte-level BPE
-never joins bytes of two pre-tokens, and its pre-token pattern always starts a
-new one at a single space between two other characters, so cutting there and
-encoding the parts alone gives the ids of the whole text.
-
 Null and empty texts have no ids. Texts of any length are encoded whole.
 """
 
@@ -13,7 +8,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,12 +24,7 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 # Fixed value: the added token of that vocabulary.
 SPECIAL_TOKENS = (("<|endoftext|>", 50256),)
 
-CACHE_WORDS = 300_000
-_LOOSE_SPACE = re.compile(r" \s|\s |^ | $")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-class WordCachedBpe:
+class ByteBpe:
     """Ids of whole texts as little-endian 32-bit words.
 
     ``ranks_path`` names the vocabulary as ranks (base64 bytes and id a line).
@@ -43,14 +32,11 @@ class WordCachedBpe:
     the tokenizers library; with none, their strings are ordinary text.
     """
 
-    def __init__(self, ranks_path: str, cache_words: int = CACHE_WORDS, special: tuple[tuple[str, int], ...] = SPECIAL_TOKENS):
+    def __init__(self, ranks_path: str, special: tuple[tuple[str, int], ...] = SPECIAL_TOKENS):
         with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._ranks = ranks
-        self._bpe = tiktoken.Encoding("bpe", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._cache: dict[str, bytes] = {}
-        self._most = cache_words
-        self._special = {name: number.to_bytes(4, "little") for name, number in special}
+            self._ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self._bpe = tiktoken.Encoding("bpe", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=self._ranks, special_tokens={})
+        self._special = {name: np.array([number], dtype="<u4") for name, number in special}
         self._cut = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True)))) if special else None
 
     def surface(self) -> list[bytes]:
@@ -60,37 +46,16 @@ class WordCachedBpe:
             found[rank] = token
         return found
 
-    def _alone(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self._cut is None or not self._cut.search(text):
-            return self._ordinary(text)
+            return self._bpe.encode_to_numpy(text).tobytes()
         found, start = [], 0
         for hit in self._cut.finditer(text):
-            found += [self._ordinary(text[start : hit.start()]), self._special[hit.group()]]
+            found += [self._bpe.encode_to_numpy(text[start : hit.start()]), self._special[hit.group()]]
             start = hit.end()
-        return b"".join([*found, self._ordinary(text[start:])])
-
-    def _ordinary(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words = _CUT.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
-        cache = self._cache
-        found = list(map(cache.get, islice(words, 1, None)))
-        if None in found:
-            if len(cache) > self._most:
-                cache.clear()
-            for at, ids in enumerate(found):
-                if ids is None:
-                    word = words[at + 1]
-                    ids = cache.get(word)
-                    if ids is None:
-                        ids = cache[word] = self._alone(" " + word)
-                    found[at] = ids
-        return self._alone(words[0]) + b"".join(found)
+        return np.concatenate([*found, self._bpe.encode_to_numpy(text[start:])]).tobytes()
 
 
 def token_counts(docs: DataFrame, ranks_path: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -102,7 +67,7 @@ def token_counts(docs: DataFrame, ranks_path: str, keep: list[str], text: str =
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = WordCachedBpe(ranks_path)
+        bpe = ByteBpe(ranks_path)
         for texts in batches:
             yield pd.Series([len(bpe.encode(t)) // 4 for t in texts], dtype="int64")
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from tagloom.llm.common import picked_below, small_batches
 from tagloom.session import store_table
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_WORD = re.compile(r"[^\W\d_]+")
 _JVM_WORD = r"\p{L}+"
+_WORD = regex.compile(_JVM_WORD)
 GRAMS = (3, 7)
 
 

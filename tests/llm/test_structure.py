@@ -300,3 +300,20 @@ def test_query_matches_sql(spark, name):
 
     ok, note = compare(spark, connect(SF), queries.QUERIES[name], queries.ORACLES[name], SF)
     assert ok, note
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    """Ids may repeat or be missing; every different text keeps a place of its own."""
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    b = "red orange yellow green blue indigo violet black white grey brown pink teal gold silver"
+    rows = [(1, a), (1, b), (2, b + " copper"), (3, None), (4, a), (None, a), (None, "nothing else here is like this text at all")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = neardup.near_duplicates(docs, threshold=0.6).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted((k is None, k or 0) for k, _ in rows)
+    of = {}
+    for r in found:
+        of.setdefault(r.doc_id, set()).add(r.class_id)
+    assert len(of[1]) == 2 and len(of[2] | of[4]) == 2 and of[2] | of[4] <= of[1] | {2} and len(of[None]) == 2
+    kept = corpus_pipeline.distinct(spark, docs.unionByName(docs), "")
+    texts = [r.text for r in kept.collect()]
+    assert len(texts) == 4 and {a, None, "nothing else here is like this text at all"} < set(texts)

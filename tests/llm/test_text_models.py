@@ -133,3 +133,11 @@ def test_url_model_keeps_every_gram(spark, monkeypatch):
     one = {r["i"]: r["difference"] for r in urls.score(asked, local, ["i"], "t").collect()}
     two = {r["i"]: r["difference"] for r in urls.score(asked, large, ["i"], "t").collect()}
     assert one[1] > 0.05 and one[2] < -0.05 and two == pytest.approx(one, abs=1e-12)
+
+
+def test_only_letters_make_a_language(spark):
+    """Numerals that are no letters (fractions, superscripts, Roman numeral signs) give no language."""
+    docs = spark.createDataFrame([(i, "le chat et la souris", "fr") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "12 _ 3"), (3, "le ² chat")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(odd, model, ["doc_id"]).orderBy("doc_id").collect()] == ["und", "und", "fr"]

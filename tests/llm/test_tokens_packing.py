@@ -26,7 +26,7 @@ def reference():
     return lambda text: bpe.encode(text, add_special_tokens=False).ids
 
 
-BPE = tokens.WordCachedBpe(queries.BPE_RANKS, cache_words=50)
+BPE = tokens.ByteBpe(queries.BPE_RANKS)
 
 
 @settings(max_examples=300, deadline=None)
