@@ -36,15 +36,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class.
+    """Keeps one document of each near-duplicate class, that with the smallest key.
 
-    Of rows that share an id one stays; rows without an id stay.
+    Different texts under one id, and rows without an id, are documents of their
+    own. Of rows with the same id and text the one that sorts first stays.
     """
     docs = docs.select(*COLUMNS)
-    classes = neardup.near_duplicates(docs)
-    kept = store_table(classes.where(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct(), "kept-ids")
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    known = neardup.keyed(docs)
+    found = neardup.classes(known, key=neardup.KEY)
+    kept = store_table(found.where(F.col("class_id") == F.col(neardup.KEY)).select(neardup.KEY).distinct(), "kept-keys")
+    first = known.join(kept, neardup.KEY, "left_semi").groupBy(neardup.KEY).agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return first.select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,11 @@ CTES = {
         SELECT note_id, subject_id, hadm_id,
             regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'),
                 '^{WS}+|{WS}+$', '', 'g') AS text
-        FROM notes WHERE lower(trim(category)) = 'en') WHERE length(text) >= 50""",
+        FROM notes) WHERE length(text) >= 50""",
+    "clean_en": "SELECT c.* FROM clean c JOIN notes n USING (note_id) WHERE lower(trim(n.category)) = 'en'",
+    "merged_en": """SELECT l.subject_id, l.hadm_id, l.text, g.labels FROM (
+        SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY length(text) DESC, note_id) AS rn FROM clean_en) l
+        JOIN grouped g USING (hadm_id) WHERE rn = 1""",
     "clean_codes": "SELECT hadm_id, upper(trim(code)) AS code FROM codes",
     "grouped": "SELECT hadm_id, list_sort(list(DISTINCT code)) AS labels FROM clean_codes GROUP BY hadm_id",
     "longest": """SELECT note_id, subject_id, hadm_id, text FROM (

@@ -33,7 +33,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.clean_notes(fx.notes(spark, d), CATEGORY)
+    return cleaning.clean_notes(fx.notes(spark, d), None)
 
 
 def grouped(spark: SparkSession, d: str) -> DataFrame:

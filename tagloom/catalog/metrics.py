@@ -59,9 +59,12 @@ SCORES = ("scores", f"""SELECT e.subject_id, e.hadm_id, m.idx, CASE WHEN list_co
 CHUNKS = ("chunk_scores", f"""SELECT e.hadm_id, c.chunk_no, m.idx, CAST({_h('e.hadm_id', 'c.chunk_no', 'm.code')} AS FLOAT) AS score
     FROM merged e, label_map m, (SELECT unnest([0, 1, 2]) AS chunk_no) c""")
 GRID = ("grid", "SELECT i AS g, CAST(CAST(0.05 AS DOUBLE) * i AS FLOAT) AS tau FROM (SELECT CAST(unnest(range(1, 20)) AS INTEGER) AS i)")
-CONF = ("conf", """SELECT s.idx, g.g, g.tau, CAST(sum(CASE WHEN score >= tau AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
-    CAST(sum(CASE WHEN score >= tau AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
-    CAST(sum(CASE WHEN score < tau AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM scores s, grid g GROUP BY ALL""")
+# Each score is placed on the grid once; a grid value then sums what lies at or above it.
+BINS = ("bins", """SELECT idx, y, len(list_filter((SELECT list(tau ORDER BY g) FROM grid), lambda t: t <= score)) AS bin, count(*) AS n
+    FROM scores GROUP BY ALL""")
+CONF = ("conf", """SELECT b.idx, g.g, g.tau, CAST(sum(CASE WHEN bin >= g.g AND y = 1 THEN n ELSE 0 END) AS BIGINT) AS tp,
+    CAST(sum(CASE WHEN bin >= g.g AND y = 0 THEN n ELSE 0 END) AS BIGINT) AS fp,
+    CAST(sum(CASE WHEN bin < g.g AND y = 1 THEN n ELSE 0 END) AS BIGINT) AS fn FROM bins b, grid g GROUP BY ALL""")
 _F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0 END"
 CONF1 = ("conf1", """SELECT idx, CAST(sum(CASE WHEN score >= CAST(0.5 AS FLOAT) AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
     CAST(sum(CASE WHEN score >= CAST(0.5 AS FLOAT) AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
@@ -95,7 +98,7 @@ def q_apply_thresholds(spark, d):
 
 
 @query("apply_thresholds_per_label", sql("""SELECT hadm_id, coalesce(string_agg(CASE WHEN score >= tau THEN CAST(idx AS VARCHAR) END, ',' ORDER BY idx), '') AS pred_idx
-    FROM scores JOIN taus USING (idx) GROUP BY hadm_id""", SCORES, GRID, CONF, TAUS))
+    FROM scores JOIN taus USING (idx) GROUP BY hadm_id""", SCORES, GRID, BINS, CONF, TAUS))
 def q_apply_thresholds_per_label(spark, d):
     mapping = base.label_map(spark, d)
     rows = scored(spark, d, mapping)
@@ -103,7 +106,7 @@ def q_apply_thresholds_per_label(spark, d):
 
 
 @query("join_thresholds", sql("""SELECT hadm_id, idx, CASE WHEN score >= tau THEN 1 ELSE 0 END AS pred FROM scores JOIN taus USING (idx)""",
-    SCORES, GRID, CONF, TAUS))
+    SCORES, GRID, BINS, CONF, TAUS))
 def q_join_thresholds(spark, d):
     mapping = base.label_map(spark, d)
     rows = scored(spark, d, mapping)
@@ -132,20 +135,20 @@ def q_precision_at_k(spark, d):
 
 
 @query("tune_global_threshold", sql(f"""SELECT round(CAST(tau AS DOUBLE), 6) AS tau, round(mi, 9) AS micro_f1, round(ma, 9) AS macro_f1 FROM (
-    SELECT g, tau, {_MICRO} AS mi, avg({_F1}) AS ma FROM conf GROUP BY g, tau) ORDER BY mi DESC, round(ma, 12) DESC, g LIMIT 1""", SCORES, GRID, CONF))
+    SELECT g, tau, {_MICRO} AS mi, avg({_F1}) AS ma FROM conf GROUP BY g, tau) ORDER BY mi DESC, round(ma, 12) DESC, g LIMIT 1""", SCORES, GRID, BINS, CONF))
 def q_tune_global_threshold(spark, d):
     mapping = base.label_map(spark, d)
     best = metrics.tune_global_threshold(scored(spark, d, mapping), mapping)
     return best.select(F.round(F.col("tau").cast("double"), 6).alias("tau"), F.round("micro_f1", 9).alias("micro_f1"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@query("threshold_grid", sql("SELECT idx, g, tp, fp, fn FROM conf", SCORES, GRID, CONF))
+@query("threshold_grid", sql("SELECT idx, g, tp, fp, fn FROM conf", SCORES, GRID, BINS, CONF))
 def q_threshold_grid(spark, d):
     mapping = base.label_map(spark, d)
     return metrics.grid_confusion(scored(spark, d, mapping), mapping).select("idx", "g", "tp", "fp", "fn")
 
 
-@query("tune_label_thresholds", sql("SELECT idx, round(CAST(tau AS DOUBLE), 6) AS tau FROM taus", SCORES, GRID, CONF, TAUS))
+@query("tune_label_thresholds", sql("SELECT idx, round(CAST(tau AS DOUBLE), 6) AS tau FROM taus", SCORES, GRID, BINS, CONF, TAUS))
 def q_tune_label_thresholds(spark, d):
     mapping = base.label_map(spark, d)
     taus = tuned(spark, d, mapping, scored(spark, d, mapping))

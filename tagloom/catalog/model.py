@@ -12,7 +12,9 @@ from tagloom.catalog import metrics as met
 from tagloom.catalog.fixtures import sql
 from tagloom.functions.hashing import unit_hash
 from tagloom.operators import explain, features, labels, merge, metrics, model
-from tagloom.session import cut_lineage, store_table
+from tagloom.session import cut_lineage, scratch_path, store_table
+
+TOLERANCE = 1e-4  # largest gradient entry of a fitted label
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,22 +68,28 @@ def q_predict_ovr(spark, d):
     return flat.select("doc_id", "idx", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
+def _targets(spark, d, linear):
+    """A label for every document, each label for as many."""
+    n = linear.intercepts.count()
+    return fx.table(spark, d, "documents").select("doc_id", F.pmod("doc_id", F.lit(n)).cast("int").alias("idx"))
+
+
 @query("token_attribution", sql("""SELECT t.doc_id, w.idx, w.feature_id, round(abs(CAST(CAST(t.value AS FLOAT) AS DOUBLE) * w.weight), 7) AS attribution
-    FROM wtf t JOIN wlong w USING (feature_id) WHERE w.idx = 3""", *_STEPS))
+    FROM wtf t JOIN wlong w USING (feature_id) WHERE w.idx = t.doc_id % (SELECT count(*) FROM brands)""", *_STEPS))
 def q_token_attribution(spark, d):
     _, rows, linear = hashed(spark, d)
-    targets = fx.table(spark, d, "documents").select("doc_id", F.lit(3).alias("idx"))
+    targets = _targets(spark, d, linear)
     found = explain.token_attribution(rows, linear, targets, "doc_id")
     return found.withColumn("attribution", F.round("attribution", 7))
 
 
 @query("top_tokens", sql("""SELECT doc_id, string_agg(term, '|' ORDER BY a DESC, feature_id) AS top FROM (SELECT t.doc_id, w.term, w.feature_id, a,
     row_number() OVER (PARTITION BY t.doc_id ORDER BY a DESC, w.feature_id) AS rn FROM (SELECT t.doc_id, w.term, w.feature_id,
-    abs(CAST(CAST(t.value AS FLOAT) AS DOUBLE) * w.weight) AS a FROM wtf t JOIN wlong w USING (feature_id) WHERE w.idx = 3 AND w.term NOT IN ('the', 'and')) t
-    JOIN wlong w ON w.idx = 3 AND w.feature_id = t.feature_id) WHERE rn <= 10 GROUP BY doc_id""", *_STEPS))
+    abs(CAST(CAST(t.value AS FLOAT) AS DOUBLE) * w.weight) AS a FROM wtf t JOIN wlong w USING (feature_id) WHERE w.idx = t.doc_id % (SELECT count(*) FROM brands) AND w.term NOT IN ('the', 'and')) t
+    JOIN wlong w ON w.idx = t.doc_id % (SELECT count(*) FROM brands) AND w.feature_id = t.feature_id) WHERE rn <= 10 GROUP BY doc_id""", *_STEPS))
 def q_top_tokens(spark, d):
     tfidf, rows, linear = hashed(spark, d)
-    targets = fx.table(spark, d, "documents").select("doc_id", F.lit(3).alias("idx"))
+    targets = _targets(spark, d, linear)
     lists = explain.token_lists(explain.token_attribution(rows, linear, targets, "doc_id"), tfidf, "doc_id")
     best = explain.top_tokens(lists, 10, specials=("the", "and"))
     return best.select("doc_id", F.concat_ws("|", F.transform("top", lambda e: e["token"])).alias("top"))
@@ -95,13 +103,41 @@ def training_rows(spark, d, mapping):
     return tfidf, tfidf.transform(merged, "hadm_id").join(encoded, "hadm_id")
 
 
-@query("fit_ovr_logreg")
+@query("fit_ovr_logreg", sql("""SELECT idx, docs, positives, CASE positives WHEN 0 THEN CAST(0 AS DOUBLE) WHEN docs THEN CAST(1 AS DOUBLE) END AS constant,
+    CASE WHEN positives NOT IN (0, docs) THEN true END AS optimal FROM (SELECT m.idx, (SELECT count(*) FROM merged) AS docs, count(e.idx) AS positives
+    FROM label_map m LEFT JOIN (SELECT unnest(labels_idx) AS idx FROM enc) e USING (idx) GROUP BY m.idx)"""))
 def q_fit_ovr_logreg(spark, d):
+    """Class counts, constant labels, and whether no gradient entry of a label exceeds the tolerance."""
     mapping = base.label_map(spark, d)
     tfidf, rows = training_rows(spark, d, mapping)
-    fitted = model.fit_ovr_logreg(rows, mapping, tfidf.n_features, max_iter=50)
-    norms = fitted.weights.groupBy("idx").agg(F.count(F.lit(1)).alias("n_weights"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return fitted.intercepts.join(norms, "idx", "left").select("idx", F.round("intercept", 6).alias("intercept"), "n_weights", F.round("norm", 6).alias("norm"))
+    rows = store_table(rows)
+    fitted = model.fit_ovr_logreg(rows, mapping, tfidf.n_features, tol=TOLERANCE)
+    found = model.gradient_norms(fitted, rows)
+    return found.select("idx", "docs", "positives", "constant", (F.col("gradient") <= 1.001 * TOLERANCE).alias("optimal"))
+
+
+_SCORED = sql("SELECT doc_id, idx, round(CAST(CAST(1 / (1 + exp(-z)) AS FLOAT) AS DOUBLE), 5) AS score FROM margin", *_STEPS)
+
+
+def _flat_scores(scored):
+    flat = scored.select("doc_id", F.posexplode("scores").alias("idx", "score"))
+    return flat.select("doc_id", "idx", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query("predict_ovr_blocks", _SCORED)
+def q_predict_ovr_blocks(spark, d):
+    """The same scores from a model that is cut into blocks of four labels."""
+    _, rows, linear = hashed(spark, d)
+    return _flat_scores(model.predict_ovr(linear, rows, "doc_id", cells=4 * linear.n_features))
+
+
+@query("load_model", _SCORED)
+def q_load_model(spark, d):
+    """The scores of a model that has been saved and loaded."""
+    _, rows, linear = hashed(spark, d)
+    path = scratch_path(spark, "saved-model")
+    model.save_model(linear, path)
+    return _flat_scores(model.load_model(spark, path).predict(rows, "doc_id"))
 
 
 @query("score_batches", """SELECT doc_id, round(CAST(CAST(least(length(text) / CAST(20000 AS DOUBLE), 1) AS FLOAT) AS DOUBLE), 5) AS long,

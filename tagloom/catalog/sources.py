@@ -104,7 +104,7 @@ def q_load_label_map(spark, d):
     return readers.load_label_map(spark, path)
 
 
-@query("load_thresholds", sql("SELECT 'per_label' AS kind, idx, round(CAST(tau AS DOUBLE), 6) AS tau FROM taus", met.SCORES, met.GRID, met.CONF, met.TAUS))
+@query("load_thresholds", sql("SELECT 'per_label' AS kind, idx, round(CAST(tau AS DOUBLE), 6) AS tau FROM taus", met.SCORES, met.GRID, met.BINS, met.CONF, met.TAUS))
 def q_load_thresholds(spark, d):
     path = scratch_path(spark, "thresholds")
     mapping = base.label_map(spark, d)
@@ -172,7 +172,7 @@ def q_load_features(spark, d):
 # --- Whole plans --------------------------------------------------------------
 
 
-@query("prepare_dataset", _MERGED)
+@query("prepare_dataset", sql(f"SELECT subject_id, hadm_id, md5(text) AS text_md5, {JOIN.format('labels')} FROM merged_en"))
 def q_prepare_dataset(spark, d):
     config = dataset.DatasetConfig(category=CATEGORY, policy="longest")
     return _show(dataset.prepare_dataset(fx.notes(spark, d), fx.codes(spark, d), scratch_path(spark, "dataset"), config))
@@ -191,7 +191,7 @@ def q_prepare_split(spark, d):
     SELECT 'val' AS split, 'global' AS thr_kind, 'global_val' AS thr_policy, 't=' || printf('%.2f', (SELECT CAST(tau AS DOUBLE) FROM best)) AS thr_notes UNION ALL
     SELECT 'test', 'global', 'use_saved', 'loaded') CROSS JOIN (SELECT (SELECT count(*) FROM merged) AS "N", (SELECT count(*) FROM label_map) AS "K",
     round({met._MICRO}, 9) AS micro_f1, round(avg({met._F1}), 9) AS macro_f1, {met.PATK.format(k=8)} AS p_at_8, {met.PATK.format(k=15)} AS p_at_15
-    FROM conf WHERE tau = (SELECT tau FROM best))""", met.SCORES, met.GRID, met.CONF, met.BEST))
+    FROM conf WHERE tau = (SELECT tau FROM best))""", met.SCORES, met.GRID, met.BINS, met.CONF, met.BEST))
 def q_evaluate_and_save(spark, d):
     mapping = base.label_map(spark, d)
     rows = store_table(met.scored(spark, d, mapping))
