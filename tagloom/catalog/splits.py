@@ -10,7 +10,7 @@ from tagloom.catalog.fixtures import sql
 from tagloom.functions.hashing import seeded_key
 from tagloom.operators import labels, merge, split
 from tagloom.operators.rank import global_rank
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, store_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -105,6 +105,38 @@ def q_split_trial_scores(spark, d):
     return scores.select(F.col("trial").cast("bigint").alias("trial"), F.round("worst_jsd", 9).alias("worst_jsd"))
 
 
+def _worst(assigned):
+    return split.label_balance(assigned).agg(F.max(F.abs(F.col("n") - F.col("desired"))).alias("worst")).first()["worst"]
+
+
+def _balance(units, key, quota, systematic):
+    """Sizes of the quota split, and whether its worst label is nearer to its share than the systematic split's."""
+    even = store_table(quota)
+    better = F.lit(_worst(even) < _worst(units.join(systematic, key)))
+    n, aim = F.col("n"), F.col("aim")
+    sizes = even.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("units"))
+    total = even.count()
+    share = F.when(F.col("split") == "train", 0.7).otherwise(0.15)
+    return sizes.withColumn("aim", share * total).select(
+        "split", (n == F.col("units")).alias("once"), (F.abs(n - aim) <= F.greatest(F.lit(3.0), 0.03 * F.lit(total))).alias("near_size"), better.alias("better"))
+
+
+_EVEN = "SELECT unnest(['train', 'val', 'test']) AS split, true AS once, true AS near_size, true AS better"
+
+
+@query("split_rows_iterative", _EVEN)
+def q_split_rows_iterative(spark, d):
+    rows = store_table(base.encoded(spark, d)).select("hadm_id", "labels_idx")
+    return _balance(rows, "hadm_id", split.quota_split(rows, "hadm_id", SEED), split.split_rows_stratified(rows, SEED))
+
+
+@query("split_subject_iterative", _EVEN)
+def q_split_subject_iterative(spark, d):
+    units = store_table(labels.subject_label_union(base.encoded(spark, d)))
+    return _balance(units, "subject_id", split.quota_split(units, "subject_id", SEED),
+                    split.stratified_trials(units, "subject_id", SEED, 0.15, 0.15).select("subject_id", "split"))
+
+
 def _split_rows(spark, d):
     rows = cut_lineage(base.encoded(spark, d))
     return split.assign_splits(rows, subject_split(spark, d, rows))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,28 @@ def test_small_splits_are_not_empty(rows):
         df = rows([(i, [i % 2]) for i in range(n)], "hadm_id long, labels_idx array<int>")
         names = [r["split"] for r in split.split_rows_stratified(df, 1).collect()]
         assert len(names) == n and set(names) == {"train", "val", "test"}
+
+
+def test_quota_split_keeps_label_shares(spark):
+    """Every unit once, the same again, and no label farther from its share than the systematic split's worst one."""
+    pick = random.Random(8)
+    weights = [1 / (i + 1) for i in range(40)]
+    data = [(i, [] if i % 50 == 0 else pick.choices(range(40), weights, k=pick.randint(1, 6))) for i in range(1500)] + [(9000, None), (9001, [39, 39])]
+    df = spark.createDataFrame(data, "hadm_id long, labels_idx array<int>").repartition(5)
+    even = split.quota_split(df, "hadm_id", 3).cache()
+    again = split.split_rows_iterative(df.coalesce(1), 3)
+    assert sorted((r["hadm_id"], r["split"]) for r in even.collect()) == sorted((r["hadm_id"], r["split"]) for r in again.collect())
+    assert sorted(r["hadm_id"] for r in even.collect()) == sorted(i for i, _ in data)
+    assert all(abs(r["count"] / 1502 - (0.7 if r["split"] == "train" else 0.15)) < 0.02 for r in even.groupBy("split").count().collect())
+
+    def off(assigned):
+        return {(r["idx"], r["split"]): abs(r["n"] - r["desired"]) for r in split.label_balance(assigned).collect()}
+
+    mine, other = off(even), off(df.join(split.split_rows_stratified(df, 3), "hadm_id"))
+    assert len(mine) == 120 and max(mine.values()) < max(other.values()) and sum(mine.values()) < sum(other.values())
+
+
+def test_quota_split_of_little(spark):
+    schema = "hadm_id long, labels_idx array<int>"
+    assert split.split_rows_iterative(spark.createDataFrame([], schema), 1).count() == 0
+    assert split.split_rows_iterative(spark.createDataFrame([(1, [])], schema), 1).count() == 1
