@@ -51,37 +51,35 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     weights = np.asarray(capacity.weights, dtype=float)
     n = len(lengths)
     bins, offsets = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    left = np.empty((max(n, 1), 3))  # share of each capacity that is left, by open bin
+    left = np.empty((3, max(n, 1)))  # share of each capacity that is left, by open bin in order of opening
     used, owner = np.zeros(max(n, 1), dtype=np.int64), np.empty(max(n, 1), dtype=np.int64)
-    live, opened, last = 0, 0, -1
+    live, opened = 0, 0
     tiny = 1e-12
     for at in np.argsort(-lengths, kind="stable"):
         size = int(lengths[at])
         need = np.array([size, 1.0, float(size) * size]) / limits
         if (need > 1 + tiny).any():
             raise ValueError(f"an item of {size} tokens exceeds a capacity on its own")
-        if last != at and live:  # bins that nothing else can enter are closed
-            keep = np.flatnonzero((left[:live] > tiny).all(axis=1))
-            if len(keep) < live:
-                left[: len(keep)], used[: len(keep)], owner[: len(keep)] = left[keep], used[keep], owner[keep]
-                live = len(keep)
-        last = at
-        open_bins = left[:live]
-        fits = np.flatnonzero((open_bins >= need - tiny).all(axis=1)) if live else ()
-        if len(fits):
-            space = open_bins[fits]
-            if capacity.rule == "dot":
-                score = -(space * need * weights).sum(axis=1)
-            else:
-                score = (weights * (space - need) ** 2).sum(axis=1)
-            place = int(fits[np.argmin(score)])
-        else:
-            place, live = live, live + 1
-            left[place], used[place], owner[place] = 1.0, 0, opened
-            opened += 1
+        place = live
+        if live:
+            score, room = np.zeros(live), np.ones(live, dtype=bool)
+            for space, part, weight in zip(left[:, :live], need, weights, strict=True):
+                room &= space >= part - tiny
+                score += -(space * part * weight) if capacity.rule == "dot" else weight * (space - part) ** 2
+            score[~room] = np.inf
+            best = int(np.argmin(score))
+            if room[best]:
+                place = best
+        if place == live:
+            left[:, place], used[place], owner[place] = 1.0, 0, opened
+            live, opened = live + 1, opened + 1
         bins[at], offsets[at] = owner[place], used[place]
-        left[place] -= need
+        left[:, place] -= need
         used[place] += size
+        if (left[:, place] <= tiny).any():  # nothing else can enter
+            for array in (*left, used, owner):
+                array[place : live - 1] = array[place + 1 : live].copy()
+            live -= 1
     return bins, offsets
 
 
