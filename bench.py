@@ -19,7 +19,7 @@ HEADLINE = [
     "merge_notes_labels", "dedupe_concat", "label_frequency", "dataset_report", "coverage_curve", "encode_labels",
     "js_divergence", "split_subject_stratified", "split_manifest", "tokenize", "build_vocab", "encode_tokens",
     "chunk_sequences", "tfidf_word", "tfidf_char", "combine_features", "tune_label_thresholds", "precision_at_k",
-    "evaluate_probs", "aggregate_chunk_scores", "predict_ovr", "token_attribution", "explain_candidates",
+    "evaluate_probs", "aggregate_chunk_scores", "predict_ovr", "fit_ovr_logreg", "token_attribution", "explain_candidates",
 ]
 
 
