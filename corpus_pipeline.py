@@ -38,15 +38,15 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class, that with the smallest key.
 
-    Different texts under one id, and rows without an id, are documents of their
-    own. Of rows with the same id and text the one that sorts first stays.
+    Different texts under one id are documents of their own. Of rows with the same
+    id and text the one that sorts first stays; rows without an id stay.
     """
     docs = docs.select(*COLUMNS)
-    known = neardup.keyed(docs)
+    known = neardup.keyed(docs.where(F.col("doc_id").isNotNull()))
     found = neardup.classes(known, key=neardup.KEY)
     kept = store_table(found.where(F.col("class_id") == F.col(neardup.KEY)).select(neardup.KEY).distinct(), "kept-keys")
     first = known.join(kept, neardup.KEY, "left_semi").groupBy(neardup.KEY).agg(F.min(F.struct(*COLUMNS)).alias("row"))
-    return first.select("row.*")
+    return first.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

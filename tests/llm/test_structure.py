@@ -203,6 +203,10 @@ def test_near_duplicates_of_one_large_bucket(spark, monkeypatch, hot, block):
 
 def test_near_duplicate_edges(spark, odd):
     got = neardup.near_duplicates(odd).collect()
+    # Rows without an id are documents too, each text with a key of its own.
+    nameless = [r["class_id"] for r in got if r["doc_id"] is None]
+    assert len(nameless) == odd.where("doc_id IS NULL").count() and all(c is not None for c in nameless)
+    got = [r for r in got if r["doc_id"] is not None]
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (7, 7), (8, 7), (9, 9)]
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
@@ -314,6 +318,7 @@ def test_texts_that_share_an_id_stay_apart(spark):
     for r in found:
         of.setdefault(r.doc_id, set()).add(r.class_id)
     assert len(of[1]) == 2 and len(of[2] | of[4]) == 2 and of[2] | of[4] <= of[1] | {2} and len(of[None]) == 2
-    kept = corpus_pipeline.distinct(spark, docs.unionByName(docs), "")
-    texts = [r.text for r in kept.collect()]
-    assert len(texts) == 4 and {a, None, "nothing else here is like this text at all"} < set(texts)
+    kept = corpus_pipeline.distinct(spark, docs.unionByName(docs), "").collect()
+    texts = [r.text for r in kept if r.doc_id is not None]
+    # The longer text is 10 of 11 passages like the other: one of them stays.
+    assert len(texts) == 3 and {a, None, b + " copper"} == set(texts) and len(kept) - len(texts) == 4
