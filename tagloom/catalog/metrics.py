@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tagloom.catalog import labels as base
 from tagloom.catalog.fixtures import sql
 from tagloom.catalog.labels import joined
 from tagloom.functions.hashing import unit_hash
-from tagloom.operators import metrics
+from tagloom.operators import metrics, model, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -41,11 +42,33 @@ def scored(spark: SparkSession, d: str, mapping: DataFrame) -> DataFrame:
     return rows.select("subject_id", "hadm_id", "labels_idx", F.transform("__codes", score).alias("scores"))
 
 
+# Words of a chunk, and words that neighbouring chunks share.
+CHUNK_WORDS, CHUNK_OVERLAP = 128, 16
+_STEP = CHUNK_WORDS - CHUNK_OVERLAP
+
+
+def _hash_scorer(codes: list[str]):
+    """A scorer of whole chunk texts: a number per text and code, taken from their md5."""
+
+    def make():
+        from hashlib import md5
+
+        def one(text: str) -> list[float]:
+            mark = md5(text.encode()).hexdigest()
+            return [int(md5(f"{mark}:{code}".encode()).hexdigest()[:8], 16) / 4294967296.0 for code in codes]
+
+        return lambda batch: np.array([one(text) for text in batch["chunk"]], dtype="float64").reshape(len(batch), len(codes))
+
+    return make
+
+
 def chunk_scores(spark: SparkSession, d: str, mapping: DataFrame) -> DataFrame:
-    rows = base.rows_of(mapping).select("hadm_id").withColumn("__codes", _codes(mapping))
-    chunks = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    score = F.transform("__codes", lambda code, i: unit_hash(F.col("hadm_id"), F.col("chunk_no"), code).cast("float"))
-    return chunks.select("hadm_id", "chunk_no", score.alias("scores"))
+    """Every merged text, whole, cut into overlapping chunks of words, and each chunk scored for all labels."""
+    codes = [r["code"] for r in mapping.orderBy("idx").collect()]
+    words = base.merged(spark, d).select("hadm_id", F.split("text", " ").alias("ids"))
+    cut = text.chunk_sequences(words, max_len=CHUNK_WORDS, overlap=CHUNK_OVERLAP, pad="")
+    chunks = cut.select("hadm_id", "chunk_no", F.rtrim(F.concat_ws(" ", "ids")).alias("chunk"))
+    return model.score_batches(chunks, _hash_scorer(codes), ["hadm_id", "chunk_no"], ["chunk"])
 
 
 def _h(*parts: str) -> str:
@@ -56,8 +79,10 @@ def _h(*parts: str) -> str:
 SCORES = ("scores", f"""SELECT e.subject_id, e.hadm_id, m.idx, CASE WHEN list_contains(e.labels_idx, m.idx) THEN 1 ELSE 0 END AS y,
     CAST(CAST(0.6 AS DOUBLE) * {_h('e.hadm_id', 'm.code')} + CAST(0.4 AS DOUBLE) * CASE WHEN list_contains(e.labels_idx, m.idx) THEN 1 ELSE 0 END
     AS FLOAT) AS score FROM enc e, label_map m""")
-CHUNKS = ("chunk_scores", f"""SELECT e.hadm_id, c.chunk_no, m.idx, CAST({_h('e.hadm_id', 'c.chunk_no', 'm.code')} AS FLOAT) AS score
-    FROM merged e, label_map m, (SELECT unnest([0, 1, 2]) AS chunk_no) c""")
+CHUNKS = ("chunk_scores", f"""SELECT c.hadm_id, c.chunk_no, m.idx, CAST({_h('c.mark', 'm.code')} AS FLOAT) AS score FROM label_map m, (
+    SELECT hadm_id, CAST(n AS INTEGER) AS chunk_no, md5(rtrim(array_to_string(list_slice(w, n * {_STEP} + 1, n * {_STEP} + {CHUNK_WORDS}), ' '), ' ')) AS mark
+    FROM (SELECT hadm_id, w, unnest(range(0, CAST(ceil(greatest(len(w) - {CHUNK_WORDS}, 0) / CAST({_STEP} AS DOUBLE)) AS BIGINT) + 1)) AS n
+        FROM (SELECT hadm_id, string_split(text, ' ') AS w FROM merged))) c""")
 GRID = ("grid", "SELECT i AS g, CAST(CAST(0.05 AS DOUBLE) * i AS FLOAT) AS tau FROM (SELECT CAST(unnest(range(1, 20)) AS INTEGER) AS i)")
 # Each score is placed on the grid once; a grid value then sums what lies at or above it.
 BINS = ("bins", """SELECT idx, y, len(list_filter((SELECT list(tau ORDER BY g) FROM grid), lambda t: t <= score)) AS bin, count(*) AS n

@@ -24,6 +24,9 @@ PRECISION_AT = (8, 15)
 MIN_POSITIVES_TUNE = 5
 MIN_POSITIVES_EVALUATE = 10
 
+# Labels whose scores are aggregated side by side in one row.
+SCORE_BLOCK = 64
+
 
 def _float(value) -> Column:
     return F.lit(value).cast("float") if not isinstance(value, Column) else value.cast("float")
@@ -234,19 +237,31 @@ def evaluate_probs(
 # --- Chunk scores -------------------------------------------------------------
 
 
-def aggregate_chunk_scores(chunks: DataFrame, key: str = "hadm_id", how: str = "max") -> DataFrame:
+def aggregate_chunk_scores(chunks: DataFrame, key: str = "hadm_id", how: str = "max", width: int = SCORE_BLOCK) -> DataFrame:
     """Document scores from chunk scores, per label max or mean.
 
-    Aggregated on (document, label) with map-side combine, so one document
-    with very many chunks is no hot spot; the final list has K entries.
+    Lists are cut into blocks of ``width`` labels whose places are aggregated
+    side by side and map-side: what is shuffled has one row per document, block
+    and task, however many chunks a document has, and no row per label. Null
+    scores do not count; a shorter list has no say on the labels it lacks;
+    documents whose lists are all empty or null are left out.
     """
     if how not in {"max", "mean"}:
         raise ValueError(f"unknown aggregation: {how}")
-    combine = F.max("score") if how == "max" else F.avg(F.col("score").cast("double")).cast("float")
-    cells = chunks.select(key, F.posexplode_outer("scores").alias("idx", "score")).filter(F.col("idx").isNotNull())
-    per_label = cells.groupBy(key, "idx").agg(combine.alias("score"))
-    packed = F.array_sort(F.collect_list(F.struct("idx", "score")))
-    return per_label.groupBy(key).agg(F.transform(packed, lambda e: e["score"]).alias("scores"))
+
+    def combine(place: str) -> Column:
+        return F.max(place) if how == "max" else F.avg(F.col(place).cast("double")).cast("float")
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size("scores") - 1) / F.lit(width)).cast("int"))
+    blocks = F.transform(numbers, lambda b: F.struct(b.alias("block"), F.slice("scores", b * width + 1, width).alias("part")))
+    cut = chunks.filter(F.size("scores") > 0).select(key, F.explode(blocks).alias("__b")).select(
+        key, F.col("__b.block").alias("__block"), F.col("__b.part").alias("__part"))
+    places = [f"__s{i}" for i in range(width)]
+    flat = cut.select(key, "__block", F.size("__part").alias("__n"), *[F.get("__part", F.lit(i)).alias(p) for i, p in enumerate(places)])
+    combined = flat.groupBy(key, "__block").agg(F.max("__n").alias("__n"), *[combine(p).alias(p) for p in places])
+    part = F.slice(F.array(*places), F.lit(1), F.col("__n"))
+    packed = F.array_sort(F.collect_list(F.struct("__block", part.alias("part"))))
+    return combined.groupBy(key).agg(F.flatten(F.transform(packed, lambda e: e["part"])).alias("scores"))
 
 
 def broadcast_doc_labels(chunks: DataFrame, docs: DataFrame, key: str = "hadm_id") -> DataFrame:

@@ -105,6 +105,34 @@ def test_chunks(rows):
         metrics.aggregate_chunk_scores(chunks, how="sum")
 
 
+def test_chunk_scores_in_blocks_of_labels(rows):
+    import random
+
+    rng = random.Random(7)
+    data = [(doc, n, [rng.choice([None, rng.random()]) for _ in range(rng.choice([0, 5, 8, 13]))]) for doc in range(6) for n in range(4)]
+    data += [(90, 0, []), (90, 1, None), (91, 0, [None, 0.5])]
+    chunks = rows(data, "hadm_id long, chunk_no int, scores array<float>")
+    for how, combine in (("max", max), ("mean", lambda found: sum(found) / len(found))):
+        expected = {}
+        for doc in {d for d, _, s in data if s}:
+            lists = [s for d, _, s in data if d == doc and s]
+            cells = [[s[i] for s in lists if i < len(s) and s[i] is not None] for i in range(max(map(len, lists)))]
+            expected[doc] = [round(combine(c), 5) if c else None for c in cells]
+        got = {
+            r["hadm_id"]: [None if x is None else round(x, 5) for x in r["scores"]]
+            for r in metrics.aggregate_chunk_scores(chunks, how=how, width=4).collect()
+        }
+        assert got.keys() == expected.keys()
+        for doc, cells in expected.items():
+            assert got[doc] == pytest.approx(cells, abs=2e-5)
+
+
+def test_chunk_scores_shuffle_no_row_per_label(rows):
+    plan = metrics.aggregate_chunk_scores(rows([(1, 0, [0.1] * 200)], "hadm_id long, chunk_no int, scores array<float>"))
+    assert plan.first()["scores"] == pytest.approx([0.1] * 200)
+    assert "posexplode" not in plan._jdf.queryExecution().toString()
+
+
 def test_last_run_per_name(rows):
     df = rows([("a", "test", 1, 0.1), ("a", "test", 2, 0.2), ("b", "test", 1, 0.3), ("a", "val", 9, 0.9)], "run_name string, split string, seq int, micro_f1 double")
     got = metrics.last_run_per_name(df, "test", ["b", "a"]).collect()
