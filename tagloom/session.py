@@ -91,15 +91,16 @@ def bounded_dict(df: DataFrame, key: str, value: str, max_rows: int = BROADCAST_
     return {r[0]: r[1] for r in rows}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan over all cores when it comes in fewer partitions.
 
     For small or unsplittable inputs (one gz file, one row group) ahead of
     text work; a scan with enough partitions is left alone, so nothing is
-    shuffled at scale. Hashing on the key keeps a re-run task identical.
+    shuffled at scale. Hashing on the keys keeps a re-run task identical; a
+    nullable or frequent key needs a second one beside it that tells rows apart.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

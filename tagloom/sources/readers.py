@@ -52,7 +52,7 @@ def read_notes_csv(spark: SparkSession, path: str, max_rows: int | None = None,
     A gz file is one partition; the rows are spread before any text work.
     """
     notes = read_text_csv(spark, path, ["subject_id", "hadm_id", "text"], ("category",), max_rows, encoding, **options)
-    return spread(notes, "hadm_id")
+    return spread(notes, "hadm_id", "text")
 
 
 def read_codes_csv(spark: SparkSession, path: str, max_rows: int | None = None, code_column: str = "icd9_code", **options) -> DataFrame:
