@@ -29,7 +29,7 @@ from tagloom.llm.common import small_batches
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 
 class Vocabulary:
@@ -194,6 +194,33 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text"
     return docs.select(*keep, F.pandas_udf(apply, "array<int>")(F.col(text)).alias("ids"))
 
 
+ROUND_TRIP = "ids array<int>, restored boolean"
+
+
+def round_trip(docs: DataFrame, model_path: str, keep: list[str], text: str = "text", bpe: bool = True, batch_texts: int = 1000) -> DataFrame:
+    """``encode`` with ``restored``: whether decoding the ids gives the text back, a ``▁`` as a space.
+
+    Both happen in the same task, so that ids cross to Python's side and back
+    once and one vocabulary serves both. Null and empty texts are restored.
+    """
+    small_batches(docs.sparkSession)
+
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(model_path, bpe)
+        encoder, surface = Encoder(vocabulary), vocabulary.surface
+        for texts in batches:
+            found: list[np.ndarray] = []
+            same: list[bool] = []
+            for start in range(0, len(texts), batch_texts):
+                part = list(texts.iloc[start : start + batch_texts])
+                ids = encoder.encode(part)
+                same.extend(_plain(surface, i) == (t or "").replace(MARK, " ") for i, t in zip(ids, part, strict=True))
+                found.extend(ids)
+            yield pd.DataFrame({"ids": pd.Series(found, dtype=object), "restored": same})
+
+    return docs.select(*keep, F.pandas_udf(apply, ROUND_TRIP)(F.col(text)).alias("__trip")).select(*keep, "__trip.ids", "__trip.restored")
+
+
 def decoded(ids: Column, model_path: str) -> Column:
     """The text of pieces: marks are spaces, the first one falls away; null for null.
 
