@@ -112,20 +112,39 @@ def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op2_quote_linking(spark: SparkSession, d: str) -> DataFrame:
-    """All conversations, sent as messages that quote two turns back, put together again."""
+    """All conversations, sent as messages that quote two turns back, whole or by a line, put together again."""
     return quotes.conversations(quotes.with_quotes(table(spark, d, "conversations")))
 
 
-ORACLES["op2_quote_linking"] = """
-WITH m AS (SELECT conv_id, turn, role, text, min(turn) OVER (
-        PARTITION BY conv_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS source FROM conversations),
-p AS (SELECT m.conv_id, m.turn, m.role, m.text, b.source AS b1, c.source AS b2
-    FROM m LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1
-    LEFT JOIN m c ON c.conv_id = m.conv_id AND c.turn = m.turn - 2),
-t AS (SELECT p.conv_id, p.turn, p.role, p.text, p.b1 AS parent_turn,
-    (p.b1 IS NOT NULL)::BIGINT + (p.b2 IS NOT NULL)::BIGINT AS n FROM p)
-SELECT conv_id, turn, role, parent_turn, 0::BIGINT AS root_turn, turn::INTEGER AS depth, n AS quotes, n AS linked,
-    turn::INTEGER AS position, trim(text, ' ' || chr(10) || chr(9)) AS text FROM t"""
+ORACLES["op2_quote_linking"] = r"""
+WITH RECURSIVE b AS (SELECT m.*, CASE WHEN m.turn % 2 <> 0 THEN x.text ELSE string_split(x.text, chr(10))[1] END AS b1,
+        CASE WHEN m.turn % 2 <> 0 THEN y.text ELSE string_split(y.text, chr(10))[1] END AS b2
+    FROM conversations m LEFT JOIN conversations x ON x.conv_id = m.conv_id AND x.turn = m.turn - 1
+    LEFT JOIN conversations y ON y.conv_id = m.conv_id AND y.turn = m.turn - 2),
+sent AS (SELECT conv_id, turn, coalesce('>> ' || replace(b2, chr(10), chr(10) || '>> ') || chr(10), '') ||
+        coalesce('> ' || replace(b1, chr(10), chr(10) || '> ') || chr(10), '') || text AS t FROM b),
+lines AS (SELECT conv_id, turn, unnest(a) AS line, generate_subscripts(a, 1) AS pos
+    FROM (SELECT conv_id, turn, regexp_split_to_array(t, '\r\n|\r|\n') AS a FROM sent)),
+levels AS (SELECT conv_id, turn, pos, length(replace(replace(regexp_extract(line, '^(?:[ \t]*>)+'), ' ', ''), chr(9), '')) AS level,
+    regexp_replace(line, '^(?:[ \t]*>)+ ?', '') AS body FROM lines),
+runs AS (SELECT conv_id, turn, level, min(pos) AS pos, string_agg(body, chr(10) ORDER BY pos) AS body FROM (
+        SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS island FROM levels)
+    GROUP BY conv_id, turn, level, island HAVING trim(regexp_replace(string_agg(body, chr(10) ORDER BY pos), '\s+', ' ', 'g')) <> ''),
+cut AS (SELECT conv_id, turn, level, pos, 0 AS grain, body FROM runs
+    UNION ALL SELECT conv_id, turn, level, pos, 1, unnest(regexp_split_to_array(body, '\n(?:\s*\n)+')) FROM runs
+    UNION ALL SELECT conv_id, turn, level, pos, 2, unnest(string_split(body, chr(10))) FROM runs),
+unit AS (SELECT DISTINCT conv_id, turn, level, pos, grain, lower(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS said FROM cut
+    WHERE len(regexp_extract_all(body, '\S+')) >= CASE grain WHEN 2 THEN 3 ELSE 1 END),
+link AS (SELECT q.conv_id, q.turn, q.level, q.pos, coalesce(max(o.turn) FILTER (q.grain = 0), max(o.turn) FILTER (q.grain = 1), max(o.turn)) AS source
+    FROM unit q LEFT JOIN unit o ON o.level = 0 AND o.conv_id = q.conv_id AND o.said = q.said AND o.turn < q.turn
+    WHERE q.level > 0 GROUP BY ALL),
+parent AS (SELECT conv_id, turn, max(source) FILTER (level = 1) AS parent, count(*) AS quotes, count(source) AS linked FROM link GROUP BY ALL),
+own AS (SELECT conv_id, turn, string_agg(regexp_replace(body, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY pos) AS text FROM runs WHERE level = 0 GROUP BY ALL),
+tree AS (SELECT c.conv_id, c.turn, c.turn AS root, 0 AS depth FROM conversations c LEFT JOIN parent p USING (conv_id, turn) WHERE p.parent IS NULL
+    UNION ALL SELECT p.conv_id, p.turn, t.root, t.depth + 1 FROM tree t JOIN parent p ON p.conv_id = t.conv_id AND p.parent = t.turn)
+SELECT c.conv_id, c.turn, c.role, p.parent AS parent_turn, t.root AS root_turn, t.depth, coalesce(p.quotes, 0) AS quotes, coalesce(p.linked, 0) AS linked,
+    CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY t.root, t.depth, c.turn) - 1 AS INTEGER) AS position, coalesce(o.text, '') AS text
+FROM conversations c JOIN tree t USING (conv_id, turn) LEFT JOIN parent p USING (conv_id, turn) LEFT JOIN own o USING (conv_id, turn)"""
 
 
 VECTOR_SIZE, CLUSTERS, ROUNDS = 64, 40, 5

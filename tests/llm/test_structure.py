@@ -242,6 +242,35 @@ def test_quotes(spark):
     assert quotes.conversations(frame.limit(0)).count() == 0
 
 
+def test_quotes_of_parts_and_nearest_source(spark):
+    """A quoted paragraph or line finds its message; of several senders the nearest earlier one is the source."""
+    rows = [
+        (1, 0, "First paragraph here.\n\nSecond paragraph here.\nIt has two lines."), (1, 1, "> Second paragraph here.\n> It has two lines.\nYes."),
+        (1, 2, "ok"), (1, 3, "> It has two lines.\nThat line."), (1, 4, "ok"), (1, 5, "> ok\nFine then."),
+        (1, 6, "> nobody said this\n>\n> First paragraph here.\nMixed."), (1, 7, "> First paragraph here.\n> but changed\nA line of it."),
+        (2, 0, "yes no\nwell"), (2, 1, "> well\nToo short a line."), (3, 1, "early"), (3, 9000, "> early\nfar"), (3, 9001, "> far\nnear"),
+    ]
+    frame = spark.createDataFrame([(c, t, "r", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["linked"], r["depth"]) for r in quotes.conversations(frame).collect()}
+    assert got[1, 1] == got[1, 3] == (0, 1, 1) and got[1, 5] == (4, 1, 1) and got[1, 6] == got[1, 7] == (0, 1, 1)
+    assert got[2, 1] == (None, 0, 0) and got[3, 9000] == (1, 1, 1) and got[3, 9001] == (9000, 1, 2)
+    twice = quotes.conversations(frame.unionByName(frame)).collect()
+    assert sorted(r["position"] for r in twice if r["conv_id"] == 1) == list(range(16))
+    assert {r["linked"] for r in twice if r["turn"] == 6} == {1}
+    links = {(r["conv_id"], r["turn"]): r["source_turn"] for r in quotes.link_quotes(frame).collect()}
+    assert links[1, 5] == 4 and links[2, 1] is None
+
+
+def test_with_quotes_edges(spark):
+    rows = [(1, t, "r", f"line {t} a\nline {t} b") for t in range(130)] + [(1, None, "r", "lost"), (None, 0, "r", "n"), (None, 1, "r", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in quotes.with_quotes(frame).collect()}
+    assert len(got) == len(rows) and got[1, None] == "lost" and got[None, 0] == "n" and got[None, 1] is None
+    assert got[1, 65] == ">> line 63 a\n>> line 63 b\n> line 64 a\n> line 64 b\nline 65 a\nline 65 b"
+    assert got[1, 64] == ">> line 62 a\n> line 63 a\nline 64 a\nline 64 b" and got[1, 0] == "line 0 a\nline 0 b"
+    assert quotes.with_quotes(frame.limit(0)).count() == 0
+
+
 def test_reply_order(spark):
     """A deep chain: every parent comes before its replies, positions count from 0."""
     pick = random.Random(2)
