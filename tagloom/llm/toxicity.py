@@ -14,6 +14,7 @@ the labels' own shares. Whole texts are read in fitting and scoring.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,17 +72,19 @@ class WordScores:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, learn_from: Column, sample_docs: int = 8000, min_docs: int = 8,
-    min_ratio: float = 4.0, max_parts: int = 5000, rounds: int = 150, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    docs: DataFrame, labels: DataFrame, learn_from: Column, sample_docs: int = 8000, min_ratio: float = 4.0, chance: float = 1.0,
+    rounds: int = 150, key: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> ToxicityModel:
     """Train on about ``sample_docs`` labelled documents for which ``learn_from`` holds.
 
     A document with several labels is toxic if any says so; null labels, null
-    texts and ids without a document teach nothing. A part of a word may carry
-    weight if toxic documents have it ``min_docs`` times and ``min_ratio`` times
-    as often as the others; the ``max_parts`` strongest are kept. Without texts
-    of both classes, or without such a part, nothing is learned and every score
-    is next to 0.
+    texts and ids without a document teach nothing. A part of a word carries
+    weight if toxic documents have it ``min_ratio`` times as often as the others
+    and chance does not explain it: the log-likelihood ratio of its counts
+    against the classes' shares exceeds the log of the number of parts, so that
+    about ``chance`` parts pass by accident, whatever the size. Every part that
+    passes is kept. Without texts of both classes, or without such a part,
+    nothing is learned and every score is next to 0.
     """
     spark = docs.sparkSession
     marked = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
@@ -103,12 +106,16 @@ def fit(
         .groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     )
     rate = (F.col("t") + 0.5) / n_toxic / ((F.col("c") + 0.5) / n_clean)
-    found = (
-        words.select("t", "c", F.explode(_jvm_parts("word")).alias("part"))
-        .groupBy("part").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        .where((F.col("t") >= min_docs) & (rate >= min_ratio))
-        .orderBy(F.desc(F.col("t") * F.log(rate)), "part").limit(max_parts).toPandas()["part"]
-    )
+    counts = store_table(words.select("t", "c", F.explode(_jvm_parts("word")).alias("part")).groupBy("part").agg(
+        F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-parts")
+    bound = math.log(max(1, counts.count()) / chance)
+    q = n_toxic / (n_toxic + n_clean)
+
+    def pull(n: str, share: float) -> Column:
+        return F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("t") + F.col("c")) * share))).otherwise(0.0)
+
+    unlikely = pull("t", q) + pull("c", 1 - q) >= bound
+    found = counts.where((rate >= min_ratio) & unlikely).orderBy("part").toPandas()["part"]
     index = {part: i for i, part in enumerate(found)}
     small_batches(spark)
 
