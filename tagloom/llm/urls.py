@@ -63,9 +63,15 @@ def longest_rule(rules: list[Rule], host: str, path: str, value) -> Column:
     return chain if chain is not None else F.lit(None).cast("string")
 
 
-def shape(host: str, path: str) -> Column:
-    """What the models read: host and path with each run of digits as one ``0``, ends marked."""
-    return F.concat(F.lit(BEGIN), F.regexp_replace(F.concat(F.col(host), F.col(path)), r"[0-9]+", "0"), F.lit(END))
+def shape(url: str) -> Column:
+    """What the models read: the whole url after ``://``, query and fragment too, each run of digits as one ``0``, ends marked.
+
+    The host is lower-cased; without ``://`` the url is read as it is, and null is empty.
+    """
+    whole = F.coalesce(F.col(url), F.lit(""))
+    rest = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    read = F.when(F.contains(whole, F.lit("://")), F.concat(host_of(url), rest)).otherwise(whole)
+    return F.concat(F.lit(BEGIN), F.regexp_replace(read, r"[0-9]+", "0"), F.lit(END))
 
 
 @dataclass(frozen=True)
@@ -180,18 +186,21 @@ class Judge:
 
 
 def score(urls: DataFrame, model: UrlModel, keep: list[str], text: str) -> DataFrame:
-    """``keep`` columns and ``difference`` (above 0: likelier accepted); null and empty texts get 0."""
+    """``keep`` columns and ``difference`` (above 0: likelier accepted); null and empty texts get 0.
+
+    Rounded to nine digits, so that the order of additions decides no verdict.
+    """
     if model.tables is not None:
         rows = urls.select(*keep, F.col(text).alias("__text"))
         found = _differences(urls.select(F.col(text).alias("__text")), model)
-        return rows.join(found, "__text", "left").select(*keep, F.coalesce("__difference", F.lit(0.0)).alias("difference"))
+        return rows.join(found, "__text", "left").select(*keep, F.round(F.coalesce("__difference", F.lit(0.0)), 9).alias("difference"))
 
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = Judge(model)
         for texts in batches:
             yield pd.Series([judge.difference(t) for t in texts], dtype="float64")
 
-    return urls.select(*keep, F.pandas_udf(apply, "double")(F.col(text)).alias("difference"))
+    return urls.select(*keep, F.round(F.pandas_udf(apply, "double")(F.col(text)), 9).alias("difference"))
 
 
 def _differences(texts: DataFrame, model: UrlModel) -> DataFrame:
@@ -230,14 +239,15 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
     """``key``, ``host``, ``path``, ``rule``, ``verdict`` and ``difference`` of every row.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule
-    and is judged by the models like any other. A repeated row is judged again
+    and is judged by the models like any other; they read the whole url. A
+    difference equal to the threshold is accepted. A repeated row is judged again
     and counts again as an example; an empty table gives no rows. Other columns
     are not read.
     """
-    parsed = pages.select(F.col(key).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parsed = pages.select(F.col(key).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), shape(url).alias("text"))
     ruled = parsed.select(
         "*", longest_rule(rules, "host", "path", lambda r: r.text).alias("rule"),
-        longest_rule(rules, "host", "path", lambda r: r.action).alias("action"), shape("host", "path").alias("text"))
+        longest_rule(rules, "host", "path", lambda r: r.action).alias("action"))
     examples = ruled.where(F.col("action").isNotNull()).select("text", (F.col("action") == "allow").alias("accepted"))
     model = fit(examples)
     judged = score(ruled, model, ["page_id", "host", "path", "rule", "action"], "text")

@@ -68,7 +68,7 @@ def test_toxicity_edges(spark, odd):
     none = toxicity.fit(odd.limit(0), labels.limit(0), F.lit(True))
     got = {r["doc_id"]: r["score"] for r in toxicity.score(odd, none, ["doc_id"]).collect()}
     assert got[3] == got[4] == 0.0 and all(0 <= s <= 1 for s in got.values())
-    two = toxicity.fit(odd, spark.createDataFrame([(1, 1), (2, 0), (7, 0)], "doc_id long, toxic int"), F.lit(True), min_docs=1, min_ratio=1.0)
+    two = toxicity.fit(odd, spark.createDataFrame([(1, 1), (2, 0), (7, 0)], "doc_id long, toxic int"), F.lit(True), min_ratio=1.0, chance=1e9)
     assert toxicity.score(odd, two, ["doc_id"]).count() == 9
 
 
