@@ -290,6 +290,40 @@ def q_merge_notes_labels(spark, d):
     return rows.select("subject_id", "hadm_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), joined("labels"))
 
 
+# The default policy: all notes of an admission, joined in order.
+CONCAT = ("concat_notes", """SELECT subject_id, hadm_id, string_agg(text, chr(10) || chr(10) ORDER BY note_id) AS text, count(*) AS n_notes
+    FROM clean GROUP BY subject_id, hadm_id""")
+CMERGED = ("cmerged", "SELECT c.subject_id, c.hadm_id, c.text, g.labels FROM concat_notes c JOIN grouped g USING (hadm_id)")
+
+
+def merged_concat(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_notes_labels(clean(spark, d), grouped(spark, d), order=False)
+
+
+@query(
+    "merge_notes_labels_concat",
+    sql(f"SELECT subject_id, hadm_id, CAST(0 AS BIGINT) AS part, md5(text) AS text_md5, {JOIN.format('labels')} FROM cmerged", CONCAT, CMERGED),
+)
+def q_merge_notes_labels_concat(spark, d):
+    rows = merged_concat(spark, d)
+    return rows.select("subject_id", "hadm_id", "part", F.md5(F.col("text").cast("binary")).alias("text_md5"), joined("labels"))
+
+
+@query(
+    "encode_labels_concat",
+    sql("""SELECT m.subject_id, m.hadm_id, md5(m.text) AS text_md5, array_to_string(list_sort(list(x.idx)), ',') AS labels_idx
+        FROM (SELECT subject_id, hadm_id, text, unnest(labels) AS code FROM cmerged) m JOIN (
+            SELECT code, CAST(row_number() OVER (ORDER BY count(*) DESC, code) - 1 AS INTEGER) AS idx
+            FROM (SELECT unnest(labels) AS code FROM cmerged) GROUP BY code) x USING (code) GROUP BY m.subject_id, m.hadm_id, m.text""", CONCAT, CMERGED),
+)
+def q_encode_labels_concat(spark, d):
+    """Notes joined in order → labels → label map → encoded rows, texts included."""
+    rows = store_table(merged_concat(spark, d), "merged-concat")
+    mapping, _ = dataset.label_space(rows)
+    coded = labels.encode_labels(rows, mapping)
+    return coded.select("subject_id", "hadm_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), joined("labels_idx"))
+
+
 @query(
     "merge_raw",
     sql("""SELECT n.note_id, n.subject_id, n.hadm_id, c.code_counts, c.n_codes FROM notes n JOIN (

@@ -10,7 +10,9 @@ from tagloom.catalog.fixtures import sql
 from tagloom.functions.hashing import seeded_key
 from tagloom.operators import labels, merge, split
 from tagloom.operators.rank import global_rank
-from tagloom.session import cut_lineage, store_table
+from tagloom.plans import dataset
+from tagloom.session import cut_lineage, scratch_path, store_table
+from tagloom.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -209,3 +211,17 @@ def q_mini_density(spark, d):
 @query("sample_examples", sql("SELECT subject_id, hadm_id FROM merged ORDER BY md5('42:' || hadm_id), hadm_id LIMIT 50"))
 def q_sample_examples(spark, d):
     return split.sample_examples(base.labelled(spark, d), 50, SEED).select("subject_id", "hadm_id")
+
+
+@query("write_splits", sql(f"""SELECT s.split, m.subject_id, m.hadm_id, md5(m.text) AS text_md5, {base.JOIN.format('labels')}
+    FROM cmerged m JOIN ssplit s USING (subject_id)""", base.CONCAT, base.CMERGED, *_STEPS))
+def q_write_splits(spark, d):
+    """Merged texts written as one file a split and read back."""
+    path = scratch_path(spark, "written-splits")
+    dataset.write_splits(base.merged_concat(spark, d).drop("part"), subject_split(spark, d), path)
+    parts = None
+    for name in labels.SPLITS:
+        rows = readers.read_split(spark, f"{path}/{name}.jsonl").select(
+            F.lit(name).alias("split"), "subject_id", "hadm_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), base.joined("labels"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.operators import cleaning, labels, merge, split
-from tagloom.session import cut_lineage
+from tagloom.operators.cleaning import DataCheckError
+from tagloom.session import cut_lineage, scratch_path
 from tagloom.sources import readers, writers
 
 
@@ -73,13 +73,22 @@ def prepare_split(spark: SparkSession, path: str, label_map: DataFrame) -> DataF
 
 
 def write_splits(rows: DataFrame, assignment: DataFrame, path: str, key: str = "subject_id") -> DataFrame:
-    """Rows with their split, one JSON-lines folder per split, and the sorted ids."""
-    placed = split.assign_splits(rows, assignment, key).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        merge.check_disjoint(placed, ["subject_id", "hadm_id"] if key == "subject_id" else [key])
-        for name in labels.SPLITS:
-            writers.write_jsonl(placed.filter(placed["split"] == name), f"{path}/{name}.jsonl")
-        writers.write_split_ids(assignment, f"{path}/ids", key)
-    finally:
-        placed.unpersist()
+    """Rows with their split, one JSON-lines folder per split, and the sorted ids.
+
+    The placed rows are stored once, a folder for each split, so that writing a
+    split reads its own rows only, and a lost executor costs no second merge.
+    Split names beyond train, val and test get a folder too; a null split is an error.
+    """
+    spark = rows.sparkSession
+    stored = scratch_path(spark, "splits")
+    assigned = split.assign_splits(rows, assignment, key)
+    assigned.write.partitionBy("split").option("compression", "zstd").parquet(stored)
+    placed = spark.read.schema(assigned.schema).parquet(stored)
+    merge.check_disjoint(placed, ["subject_id", "hadm_id"] if key == "subject_id" else [key])
+    found = {r["split"] for r in assignment.select("split").distinct().collect()}
+    if None in found:
+        raise DataCheckError("an id without a split")
+    for name in [*labels.SPLITS, *sorted(found.difference(labels.SPLITS))]:
+        writers.write_jsonl(placed.filter(placed["split"] == name), f"{path}/{name}.jsonl")
+    writers.write_split_ids(assignment, f"{path}/ids", key)
     return placed
