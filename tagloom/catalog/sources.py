@@ -203,6 +203,30 @@ def q_evaluate_and_save(spark, d):
                        *[F.round(c, 9).alias(c) for c in ("micro_f1", "macro_f1", "p_at_8", "p_at_15")])
 
 
+# Per-label thresholds: labels with too few positives keep the best global one.
+_LABEL_MIN = 80
+_PTAUS = ("ptaus", f"""SELECT idx, CASE WHEN pos < {_LABEL_MIN} THEN (SELECT tau FROM best) ELSE tau END AS tau FROM (
+    SELECT idx, tau, tp + fn AS pos, row_number() OVER (PARTITION BY idx ORDER BY {met._F1} DESC, g) AS rn FROM conf) WHERE rn = 1""")
+_PCONF = ("pconf", """SELECT 'per_label' AS kind, c.idx, c.tp, c.fp, c.fn FROM conf c JOIN ptaus p ON p.idx = c.idx AND p.tau = c.tau
+    UNION ALL SELECT 'fixed', idx, tp, fp, fn FROM conf1""")
+
+
+@query("evaluate_per_label", sql(f"""SELECT r.*, f.micro_f1, f.macro_f1, {met.PATK.format(k=8)} AS p_at_8 FROM (
+    SELECT 'val' AS split, 'per_label' AS thr_kind, 'per_label_val' AS thr_policy, 'base=' || printf('%.2f', (SELECT CAST(tau AS DOUBLE) FROM best)) || ' tuned=1D' AS thr_notes
+    UNION ALL SELECT 'test', 'per_label', 'use_saved', 'loaded' UNION ALL SELECT 'test', 'fixed', 'per_label_val', 't=0.50 [fallback]') r
+    JOIN (SELECT kind, round({met._MICRO}, 9) AS micro_f1, round(avg({met._F1}), 9) AS macro_f1 FROM pconf GROUP BY kind) f ON f.kind = r.thr_kind""",
+    met.SCORES, met.GRID, met.BINS, met.CONF, met.BEST, met.CONF1, _PTAUS, _PCONF))
+def q_evaluate_per_label(spark, d):
+    """Thresholds per label tuned on val, saved, read for test; tuning on test falls back to the fixed one."""
+    mapping = base.label_map(spark, d)
+    rows = store_table(met.scored(spark, d, mapping))
+    thresholds, table = scratch_path(spark, "thresholds"), scratch_path(spark, "metrics")
+    for split, policy in (("val", "per_label_val"), ("test", "use_saved"), ("test", "per_label_val")):
+        evaluation.evaluate_and_save(rows, mapping, "hash", split, thresholds, table, policy, min_pos=_LABEL_MIN)
+    back = readers.load_metrics_union(spark, [table])
+    return back.select("split", "thr_kind", "thr_policy", "thr_notes", *[F.round(c, 9).alias(c) for c in ("micro_f1", "macro_f1", "p_at_8")])
+
+
 _MAXED = ("scores", """SELECT hadm_id, idx, CASE WHEN list_contains(labels_idx, idx) THEN 1 ELSE 0 END AS y, s AS score FROM (
     SELECT hadm_id, idx, max(score) AS s FROM chunk_scores GROUP BY ALL) JOIN enc USING (hadm_id)""")
 

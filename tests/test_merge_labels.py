@@ -186,3 +186,18 @@ def test_global_rank_and_running_sum_over_ties(spark):
         running += i
         sums.append(running)
     assert [r["cum"] for r in ranked] == sums
+
+
+def test_write_splits_keeps_every_split_name(spark, rows, tmp_path):
+    from tagloom.operators.cleaning import DataCheckError
+    from tagloom.plans.dataset import write_splits
+    from tagloom.sources.readers import read_split
+
+    data = rows([(s, 10 + s, f"text {s}", ["A"]) for s in range(4)], "subject_id long, hadm_id long, text string, labels array<string>")
+    assigned = rows([(0, "train"), (1, "val"), (2, "holdout"), (3, "train")], "subject_id long, split string")
+    placed = write_splits(data, assigned, str(tmp_path))
+    assert placed.count() == 4
+    assert [r.hadm_id for r in read_split(spark, f"{tmp_path}/holdout.jsonl").collect()] == [12]
+    assert sorted(r.hadm_id for r in read_split(spark, f"{tmp_path}/train.jsonl").collect()) == [10, 13]
+    with pytest.raises(DataCheckError):
+        write_splits(data, rows([(0, None)], "subject_id long, split string"), str(tmp_path))
