@@ -1,13 +1,14 @@
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as fx
-from tagloom.operators import features, text
+from tagloom.operators import features, grams, text
 from tagloom.session import scratch_path
 
 
@@ -180,3 +181,34 @@ def test_encoding_keeps_rows_with_repeated_and_null_keys(rows):
     ids = text.encode_tokens(rows([(1, ["a", "b"]), (1, ["z"]), (None, [])], "id long, tokens array<string>"), vocab, "id")
     assert sorted(map(repr, ((r[0], r[1]) for r in ids.collect()))) == sorted(map(repr, [(1, [2, 3]), (1, [1]), (None, [1])]))
     assert "Exchange" not in ids._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bits", [62, 9])
+def test_gram_counts_by_brute_force(monkeypatch, bits):
+    """With narrow numbers every size is ranked before the next item is added."""
+    monkeypatch.setattr(grams, "NUMBER_BITS", bits)
+    texts = ["abab\0\0", "", "😀é😀é😀", "a", "ba ab\0"]
+    got = {}
+    for counts in grams.counted(grams.Items.characters(texts), 1, 5, ""):
+        for g, term in enumerate(counts.terms):
+            for i in range(counts.firsts[g], counts.firsts[g + 1]):
+                got[term, int(counts.rows[i])] = int(counts.times[i])
+    want = Counter((t[i : i + n], r) for r, t in enumerate(texts) for n in range(1, 6) for i in range(len(t) - n + 1))
+    assert got == dict(want)
+
+
+@pytest.mark.parametrize("items", [5, 1_000_000])
+def test_tfidf_counts_texts_of_a_key_together(rows, monkeypatch, items):
+    """In one plan without a row per gram: texts of a key, null too, make one document however batches are cut."""
+    monkeypatch.setattr(grams, "BATCH_ITEMS", items)
+    texts = [(1, "chest pain"), (None, "pain"), (1, "pain and fever"), (2, None), (None, "fever chest"), (3, "zz")]
+    fitted = features.fit_tfidf(rows(SMOKE, "id long, text string"), features.TfidfConfig())
+    df = rows(texts, "id long, text string").coalesce(1)
+    quick, joined = fitted.transform(df, "id"), features._transform_joined(fitted, df, "id", "text")
+    pick = lambda out: {r["id"]: dict(zip(r["feature_ids"], r["feature_values"], strict=True)) for r in out.collect()}
+    got, want = pick(quick), pick(joined)
+    assert quick.count() == 4 and got.keys() == want.keys() == {1, 2, 3, None} and got[2] == {} and got[1]
+    for k, values in want.items():
+        assert got[k] == pytest.approx(values, abs=1e-6)
+    plan = quick._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan
