@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.catalog import fixtures as fx
 from tagloom.catalog.fixtures import sql
 from tagloom.operators import text
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, store_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,8 +46,10 @@ def tokens(spark, d):
     return text.tokenize(fx.documents(spark, d)).select("doc_id", "tokens")
 
 
-def vocab(spark, d):
-    return cut_lineage(text.build_vocab(tokens(spark, d), max_size=VOCAB_SIZE))
+def tokens_and_vocab(spark, d):
+    """The vocabulary and the tokens it was built from: stored, so that texts are cut into tokens once."""
+    rows = store_table(tokens(spark, d), "tokens")
+    return rows, cut_lineage(text.build_vocab(rows, max_size=VOCAB_SIZE))
 
 
 def _csv(col):
@@ -72,15 +74,15 @@ def q_build_vocab(spark, d):
 
 @query("encode_tokens", sql("SELECT doc_id, md5(array_to_string(ids, ',')) AS ids_md5, len(ids) AS n FROM ids", TOK, VOCAB, IDS))
 def q_encode_tokens(spark, d):
-    ids = text.encode_tokens(tokens(spark, d), vocab(spark, d), "doc_id")
+    ids = text.encode_tokens(*tokens_and_vocab(spark, d), "doc_id")
     return ids.select("doc_id", _digest("ids").alias("ids_md5"), F.size("ids").cast("bigint").alias("n"))
 
 
 @query("decode_tokens", sql("""SELECT doc_id, md5(string_agg(v.token, ' ' ORDER BY pos)) AS tokens_md5 FROM (
     SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM ids) JOIN vocab v USING (id) GROUP BY doc_id""", TOK, VOCAB, IDS))
 def q_decode_tokens(spark, d):
-    words = vocab(spark, d)
-    ids = text.encode_tokens(tokens(spark, d), words, "doc_id")
+    rows, words = tokens_and_vocab(spark, d)
+    ids = text.encode_tokens(rows, words, "doc_id")
     return text.decode_tokens(ids, words).select("doc_id", F.md5(F.concat_ws(" ", "tokens").cast("binary")).alias("tokens_md5"))
 
 
@@ -93,7 +95,7 @@ CHUNKED = ("chunked", f"""SELECT doc_id, CAST(c AS INTEGER) AS chunk_no, list_sl
 @query("chunk_sequences", sql(f"""SELECT doc_id, chunk_no, md5(array_to_string(list_concat(part, list_resize(CAST([] AS INTEGER[]), {_W} - len(part), 0)), ',')) AS ids_md5,
     CAST(len(part) AS BIGINT) AS n_real FROM chunked""", TOK, VOCAB, IDS, CHUNKED))
 def q_chunk_sequences(spark, d):
-    ids = text.encode_tokens(tokens(spark, d), vocab(spark, d), "doc_id")
+    ids = text.encode_tokens(*tokens_and_vocab(spark, d), "doc_id")
     chunks = text.chunk_sequences(ids, max_len=LEN, overlap=OVER, n_special=SPECIAL)
     real = F.aggregate("mask", F.lit(0).cast("bigint"), lambda acc, m: acc + m)
     return chunks.select("doc_id", "chunk_no", _digest("ids").alias("ids_md5"), real.alias("n_real"))
@@ -102,6 +104,6 @@ def q_chunk_sequences(spark, d):
 @query("truncate_pad", sql(f"""SELECT doc_id, md5(array_to_string(list_concat(part, list_resize(CAST([] AS INTEGER[]), {LEN} - len(part), 0)), ',')) AS ids_md5,
     repeat('1', len(part)) || repeat('0', {LEN} - len(part)) AS mask FROM (SELECT doc_id, list_slice(ids, 1, {LEN}) AS part FROM ids)""", TOK, VOCAB, IDS))
 def q_truncate_pad(spark, d):
-    ids = text.encode_tokens(tokens(spark, d), vocab(spark, d), "doc_id", max_len=LEN)
+    ids = text.encode_tokens(*tokens_and_vocab(spark, d), "doc_id", max_len=LEN)
     rows = text.truncate_pad(ids, max_len=LEN)
     return rows.select("doc_id", _digest("ids").alias("ids_md5"), F.concat_ws("", F.transform("mask", lambda m: m.cast("string"))).alias("mask"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,14 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", max_size: int = VOCAB_MAX
     return ends.unionByName(words).unionByName(number)
 
 
+def _replaced(lists: pa.Array, known: pa.Array, by: pa.Array, other) -> pa.Array:
+    """Lists whose items are replaced in Arrow columns: no Python object for an item."""
+    found = pc.index_in(lists.flatten().cast(known.type), value_set=known)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pc.fill_null(by.take(found), other), mask=lists.is_null())
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", max_len: int | None = None,
                   name: str = "ids") -> DataFrame:
     """(key, ids): unknown tokens get the unknown id, empty texts are one unknown.
@@ -63,11 +73,11 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "toke
     lookup stays inside the row: rows that share a key keep their own tokens.
     """
     index = bounded_dict(vocab, "token", "id")
+    sent = df.sparkSession.sparkContext.broadcast((pa.array(index.keys(), pa.string()), pa.array(index.values(), pa.int32())))
 
-    @F.pandas_udf("array<int>")
-    def looked_up(lists: pd.Series) -> pd.Series:
-        get = index.get
-        return pd.Series([[get(t, UNK_ID) for t in x] for x in lists], dtype=object)
+    @F.arrow_udf("array<int>")
+    def looked_up(lists: pa.Array) -> pa.Array:
+        return _replaced(lists, *sent.value, UNK_ID)
 
     cut = F.slice(F.col(tokens), 1, max_len) if max_len is not None else F.col(tokens)
     filled = F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit(fx.UNK)))
@@ -80,11 +90,11 @@ def decode_tokens(df: DataFrame, vocab: DataFrame, ids: str = "ids", name: str =
     The vocabulary goes to each task once, not into the rows.
     """
     tokens = bounded_dict(vocab, "id", "token")
+    sent = df.sparkSession.sparkContext.broadcast((pa.array(tokens.keys(), pa.int64()), pa.array(tokens.values(), pa.string())))
 
-    @F.pandas_udf("array<string>")
-    def named(lists: pd.Series) -> pd.Series:
-        get = tokens.get
-        return pd.Series([None if x is None else [get(int(i), fx.UNK) for i in x] for x in lists], dtype=object)
+    @F.arrow_udf("array<string>")
+    def named(lists: pa.Array) -> pa.Array:
+        return _replaced(lists, *sent.value, fx.UNK)
 
     return df.withColumn(name, named(F.col(ids)))
 

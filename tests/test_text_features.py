@@ -1,8 +1,11 @@
 import math
 import re
+import tracemalloc
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
@@ -212,3 +215,22 @@ def test_tfidf_counts_texts_of_a_key_together(rows, monkeypatch, items):
         assert got[k] == pytest.approx(values, abs=1e-6)
     plan = quick._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan
+
+
+def test_tokens_are_replaced_in_arrow_columns(rows):
+    """Sliced lists, null lists and null items; a million repeated tokens take no Python objects."""
+    lists = pa.array([["x"], ["a", "b", None], None, [], ["zz", "a"]]).slice(1)
+    got = text._replaced(lists, pa.array(["a", "b"]), pa.array([7, 8], pa.int32()), 1)
+    assert got.to_pylist() == [[7, 8, 1], None, [], [1, 7]] and got.type.value_type == pa.int32()
+    back = text._replaced(got, pa.array([7, 8], pa.int64()), pa.array(["a", "b"]), "<UNK>")
+    assert back.to_pylist() == [["a", "b", "<UNK>"], None, [], ["<UNK>", "a"]]
+    tokens = pa.array(["a", "b", "c", "some-longer-token"] * 250_000)
+    many = pa.ListArray.from_arrays(pa.array([0, 600_000, 1_000_000], pa.int32()), tokens)
+    tracemalloc.start()
+    ids = text._replaced(many, pa.array(["a", "b", "some-longer-token"]), pa.array([2, 3, 4], pa.int32()), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pc.sum(ids.flatten()).as_py() == 250_000 * 10 and peak < 1_000_000
+    vocab = rows([("<PAD>", 0), ("<UNK>", 1), ("a", 2)], "token string, id int")
+    df = rows([(1, [2, 5, 0]), (2, None), (3, [])], "id long, ids array<int>")
+    assert {r["id"]: r["tokens"] for r in text.decode_tokens(df, vocab).collect()} == {1: ["a", "<UNK>", "<PAD>"], 2: None, 3: []}
