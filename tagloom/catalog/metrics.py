@@ -63,9 +63,12 @@ def _hash_scorer(codes: list[str]):
 
 
 def chunk_scores(spark: SparkSession, d: str, mapping: DataFrame) -> DataFrame:
-    """Every merged text, whole, cut into overlapping chunks of words, and each chunk scored for all labels."""
+    """Every merged text, whole, cut into overlapping chunks of words, and each chunk scored for all labels.
+
+    The texts are those stored with the label map (``texts=True``).
+    """
     codes = [r["code"] for r in mapping.orderBy("idx").collect()]
-    words = base.merged(spark, d).select("hadm_id", F.split("text", " ").alias("ids"))
+    words = base.rows_of(mapping).select("hadm_id", F.split("text", " ").alias("ids"))
     cut = text.chunk_sequences(words, max_len=CHUNK_WORDS, overlap=CHUNK_OVERLAP, pad="")
     chunks = cut.select("hadm_id", "chunk_no", F.rtrim(F.concat_ws(" ", "ids")).alias("chunk"))
     return model.score_batches(chunks, _hash_scorer(codes), ["hadm_id", "chunk_no"], ["chunk"])
@@ -191,14 +194,14 @@ def q_evaluate_probs(spark, d):
 @query("aggregate_chunk_scores", sql("""SELECT hadm_id, string_agg(CAST(CAST(floor(CAST(s AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY idx) AS scores
     FROM (SELECT hadm_id, idx, max(score) AS s FROM chunk_scores GROUP BY ALL) GROUP BY hadm_id""", CHUNKS))
 def q_aggregate_chunk_scores(spark, d):
-    docs = metrics.aggregate_chunk_scores(chunk_scores(spark, d, base.label_map(spark, d)))
+    docs = metrics.aggregate_chunk_scores(chunk_scores(spark, d, base.label_map(spark, d, texts=True)))
     cells = F.transform("scores", lambda s: F.floor(s.cast("double") * 10000).cast("string"))
     return docs.select("hadm_id", F.concat_ws(",", cells).alias("scores"))
 
 
 @query("aggregate_chunk_scores_mean", sql("""SELECT hadm_id, idx, round(CAST(CAST(avg(CAST(score AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS score FROM chunk_scores GROUP BY ALL""", CHUNKS))
 def q_aggregate_chunk_scores_mean(spark, d):
-    docs = metrics.aggregate_chunk_scores(chunk_scores(spark, d, base.label_map(spark, d)), how="mean")
+    docs = metrics.aggregate_chunk_scores(chunk_scores(spark, d, base.label_map(spark, d, texts=True)), how="mean")
     flat = docs.select("hadm_id", F.posexplode("scores").alias("idx", "score"))
     return flat.select("hadm_id", "idx", F.round(F.col("score").cast("double"), 6).alias("score"))
 
@@ -206,7 +209,7 @@ def q_aggregate_chunk_scores_mean(spark, d):
 @query("broadcast_doc_labels", sql("""SELECT c.hadm_id, c.chunk_no, array_to_string(e.labels_idx, ',') AS labels_idx
     FROM (SELECT DISTINCT hadm_id, chunk_no FROM chunk_scores) c JOIN enc e USING (hadm_id)""", CHUNKS))
 def q_broadcast_doc_labels(spark, d):
-    mapping = base.label_map(spark, d)
+    mapping = base.label_map(spark, d, texts=True)
     rows = metrics.broadcast_doc_labels(chunk_scores(spark, d, mapping), base.encoded(spark, d, mapping))
     return rows.select("hadm_id", "chunk_no", joined("labels_idx"))
 

@@ -96,8 +96,8 @@ def q_top_tokens(spark, d):
 
 
 def training_rows(spark, d, mapping):
-    """Word features and label indices of the merged admissions."""
-    merged = store_table(base.merged(spark, d))
+    """Word features and label indices of the merged admissions, stored with the label map (``texts=True``)."""
+    merged = base.rows_of(mapping)
     encoded = labels.encode_labels(merged.select("hadm_id", "labels"), mapping)
     tfidf = features.fit_tfidf(merged, feat._only("word"))
     return tfidf, tfidf.transform(merged, "hadm_id").join(encoded, "hadm_id")
@@ -108,7 +108,7 @@ def training_rows(spark, d, mapping):
     FROM label_map m LEFT JOIN (SELECT unnest(labels_idx) AS idx FROM enc) e USING (idx) GROUP BY m.idx)"""))
 def q_fit_ovr_logreg(spark, d):
     """Class counts, constant labels, and whether no gradient entry of a label exceeds the tolerance."""
-    mapping = base.label_map(spark, d)
+    mapping = base.label_map(spark, d, texts=True)
     tfidf, rows = training_rows(spark, d, mapping)
     rows = store_table(rows)
     fitted = model.fit_ovr_logreg(rows, mapping, tfidf.n_features, tol=TOLERANCE)
@@ -177,13 +177,13 @@ def q_explain_candidates(spark, d):
 
 @query("best_chunk", sql("SELECT hadm_id, idx, best_chunk, round(CAST(chunk_score AS DOUBLE), 6) AS chunk_score FROM bestc", met.SCORES, met.CHUNKS, CAND, BESTC))
 def q_best_chunk(spark, d):
-    mapping = base.label_map(spark, d)
+    mapping = base.label_map(spark, d, texts=True)
     best = explain.best_chunk(met.chunk_scores(spark, d, mapping), candidates(spark, d, mapping))
     return best.withColumn("chunk_score", F.round(F.col("chunk_score").cast("double"), 6))
 
 
 def records(spark, d):
-    mapping = base.label_map(spark, d)
+    mapping = base.label_map(spark, d, texts=True)
     found = cut_lineage(candidates(spark, d, mapping))
     tokens = found.select("hadm_id", "idx", F.array(F.lit("[CLS]"), "case_type").alias("tokens"),
                           F.array(F.lit(0.0), F.col("score").cast("double")).alias("scores"))
