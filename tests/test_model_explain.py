@@ -167,3 +167,17 @@ def test_training_plan(spark, trained):
     assert spark.read.parquet(f"{path}/metrics").count() == 2
     tfidf, fitted = training.load_run(spark, path, "tfidf_lr")
     assert tfidf.n_features == fitted.n_features
+
+
+def test_blocks_carry_the_order_of_their_features(rows):
+    """Passes over the documents read the order instead of sorting; any order of parts gives the same sums."""
+    df = rows([([0], [3, 1, 7], [1.0, 2.0, 3.0]), ([], [], []), ([1], [1, 3], [4.0, 5.0])], "labels_idx array<int>, feature_ids array<int>, feature_values array<float>")
+    got = []
+    for block in ovr.sparse_blocks(df.coalesce(1)).collect():
+        known = ovr.SparseRows(np.frombuffer(block.starts, np.int64), np.frombuffer(block.ids, np.int32),
+                               np.frombuffer(block.vals, np.float32).astype(float), np.frombuffer(block.by_id, np.int32))
+        assert (np.diff(known.ids[known.by_id]) >= 0).all()
+        out = np.zeros((8, 2))
+        known.add_transposed(np.ones((block.n, 2)), out)
+        got.append(out)
+    assert sum(got)[:, 0].tolist() == [0, 6, 0, 6, 0, 0, 0, 3]
