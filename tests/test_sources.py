@@ -171,3 +171,20 @@ def test_cleaning_runs_on_a_stream(spark, rows, tmp_path):
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     clean_notes_stream(stream, "d", f"{tmp_path}/out", f"{tmp_path}/chk").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_splits_and_their_id_lists_come_from_one_evaluation_of_the_assignment(rows, tmp_path):
+    """An assignment that is costly or differs from run to run is evaluated once for both."""
+
+    @F.udf("string")
+    def drawn(_):
+        import os
+
+        return "train" if os.urandom(1)[0] % 2 else "test"
+
+    data = rows([(i, 100 + i, f"text {i}", ["A"]) for i in range(40)], "subject_id long, hadm_id long, text string, labels array<string>")
+    assignment = data.select("subject_id").withColumn("split", drawn.asNondeterministic()("subject_id"))
+    placed = dataset.write_splits(data, assignment, str(tmp_path))
+    want = {(r["subject_id"], r["split"]) for r in placed.collect()}
+    ids = data.sparkSession.read.text(f"{tmp_path}/ids")
+    assert {(int(r["value"]), r["split"]) for r in ids.collect()} == want and len(want) == 40
