@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -90,3 +91,51 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     aligned = store_table(alignment.align(docs, queries.BPE_RANKS, queries.PIECES, ["doc_id"]), "aligned")
     assert alignment.with_counts(aligned, store_table(alignment.pair_counts(aligned), "counts")).count() == 0
+
+
+def test_no_python_call_for_new_words():
+    """1500 words that were never met before cost no Python call each."""
+    aligner = alignment.Aligner(queries.BPE_RANKS, queries.PIECES)
+    pick = random.Random(3)
+    new = [" ".join("".join(pick.choices("abcdefghij", k=9)) for _ in range(300)) for _ in range(5)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        aligner.align(new)
+    finally:
+        sys.setprofile(None)
+    assert calls < 500
+
+
+def test_parts_hold_every_text_once():
+    texts = [None, "", "x" * (2 * alignment.PART_CHARS), "y", *["z" * 1000] * 3000, None]
+    cut = list(alignment.parts(texts))
+    assert [t for part in cut for t in part] == texts and all(cut) and list(alignment.parts([])) == []
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= alignment.PART_CHARS for part in cut)
+    assert max(map(len, cut)) <= alignment.BATCH_ROWS
+
+
+def test_parts_do_not_change_results(spark, monkeypatch):
+    """Texts next to each other are aligned alone, whatever part they meet in."""
+    texts = frame(spark)[0]
+    aligner = alignment.Aligner(queries.BPE_RANKS, queries.PIECES)
+
+    def rows(found):
+        *counts, digests, pairs, times, starts = found
+        return [(*(int(c[i]) for c in counts), digests[i], pairs[s:e].tolist(), times[s:e].tolist()) for i, (s, e) in enumerate(zip(starts, starts[1:], strict=False))]
+
+    alone = [row for t in texts for row in rows(aligner.align([t]))]
+    monkeypatch.setattr(alignment, "PART_CHARS", 500)
+    assert rows(aligner.align(texts)) == alone
+    assert [row for part in alignment.parts(texts) for row in rows(aligner.align(part))] == alone
+
+
+def test_large_ids_beside_null(spark):
+    docs = spark.createDataFrame([(None, "a b"), (2**53 + 1, "c d"), (2**62 + 3, None)], "doc_id long, text string").coalesce(1)
+    aligned = alignment.align(docs, queries.BPE_RANKS, queries.PIECES, ["doc_id"])
+    assert {r.doc_id for r in aligned.collect()} == {None, 2**53 + 1, 2**62 + 3}
