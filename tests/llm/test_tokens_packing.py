@@ -63,6 +63,51 @@ def test_memory_is_linear_in_a_words_length():
         assert ids.tolist() == model.encode(text)
 
 
+def test_usual_words_take_no_step_a_character(monkeypatch):
+    """Trie nodes of usual words get their states in arrays; only longer words are walked one character at a time."""
+    model, encoder = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES), pieces.Encoder(pieces.Vocabulary(queries.PIECES))
+    pick = random.Random(11)
+    kept = [p for p in PARTS if p not in ("\x00", "▁")]
+    texts = [" ".join("".join(pick.choices(kept, k=pick.randint(1, 4))) for _ in range(40)) for _ in range(200)]
+    walked, step = [], pieces.Viterbi._by_merges
+    monkeypatch.setattr(pieces.Viterbi, "_by_merges", lambda self, word, *rest: walked.append(word) or step(self, word, *rest))
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [model.encode(t) for t in texts]
+    assert not walked
+    edges = [c * (pieces.LONG + n) for c in ("a", "é", "你", "😀") for n in (-3, -2, -1, 0, 1)] + texts[:5]
+    assert [ids.tolist() for ids in encoder.encode(edges)] == [model.encode(t) for t in edges]
+    assert walked and all(len(word) > pieces.LONG for word in walked)
+
+
+def brute_merges(text, scores):
+    parts = list(text)
+    while True:
+        best = max(((scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores), default=None)
+        if best is None:
+            return parts
+        parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_levels_are_the_walk_and_the_merges(seed, monkeypatch):
+    """Small vocabularies with equal scores, pieces that never form and characters that are no piece."""
+    pick = random.Random(seed)
+    vocabulary = pieces.Vocabulary(queries.PIECES)
+    made = {"".join(pick.choices("abcd", k=pick.randint(2, 5))) for _ in range(40)}
+    vocabulary.ids = {p: i for i, p in enumerate(["a", "b", "c", *sorted(made)])}
+    vocabulary.scores = {p: -float(pick.randint(0, 6)) for p in vocabulary.ids}
+    vocabulary.endings = {}
+    for p in sorted(made, key=len, reverse=True):
+        vocabulary.endings[p[-2:]] = tuple(dict.fromkeys((*vocabulary.endings.get(p[-2:], ()), len(p))))
+    viterbi = pieces.Viterbi(vocabulary, most_pairs=50)
+    for before in ["", "z", *vocabulary.ids]:
+        for piece in vocabulary.ids:
+            assert viterbi._agree(before, piece) == (brute_merges(before + piece, vocabulary.scores) == [p for p in (before, piece) if p])
+    words = sorted({"".join(pick.choices("abcdez", k=pick.randint(1, 14))) for _ in range(400)})
+    monkeypatch.setattr(pieces, "LEVEL_WORDS", 60)
+    monkeypatch.setattr(pieces, "LONG", 10)
+    assert list(viterbi.encode(words)) == list(viterbi._walk(words))
+
+
 def test_unigram_viterbi_is_the_best_sum():
     vocabulary = pieces.Vocabulary(queries.PIECES, bpe=False)
     vocabulary.ids = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "ba", "aba"])}
