@@ -1,8 +1,12 @@
 """Removal of repeated passages against a plain search of every string."""
 
 import random
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import suffixes
 
@@ -82,3 +86,56 @@ def test_long_texts_in_parts(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_line_in_many_contexts(spark, monkeypatch):
+    # Blocks at the line's ends share a smallest rank and differ: they are spread by their content.
+    spread = [(1 << 19, 16), (64, 2)]
+    rng = random.Random(7)
+    line = "a line that stands in every one of the documents, again and again."
+    rows = [(i, "".join(rng.choice("abcdef") for _ in range(40)) + line + "".join(rng.choice("abcdef") for _ in range(40))) for i in range(200)]
+    rows += [(500 + i, rows[i][1][rng.randint(0, 30) : -rng.randint(1, 30)]) for i in range(40)] + [(9, None), (None, rows[4][1])]
+    expected = brute(rows, 50)
+    for gather, many in spread:
+        monkeypatch.setattr(suffixes, "GATHER_ROWS", gather)
+        monkeypatch.setattr(suffixes, "MANY", many)
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert got(suffixes.remove_repeats(frame, 50)) == expected
+
+
+def test_equal_blocks_of_a_task_are_sent_once():
+    # 1000 documents hold the same block, and 1000 another content with the same smallest rank each.
+    n = 1000
+    rows = (np.full(2 * n, 7, dtype=np.uint64), np.append(np.zeros(n), np.arange(1, n + 1)).astype(np.uint64),
+            np.arange(2 * n), np.zeros(2 * n, dtype=np.int64), np.arange(2 * n) << 16 | 1)
+    sent, kind, route = suffixes._spread(*rows)
+    assert np.count_nonzero(kind == suffixes.SETTLED) == n - 1
+    assert np.count_nonzero(kind == suffixes.SPREAD) == n + 1
+    assert np.count_nonzero(kind == suffixes.MARK) == 1
+    assert len(set(route[kind == suffixes.SPREAD].tolist())) == n + 1
+
+
+def test_periodic_texts(spark):
+    rows = [(1, "x" * 3000 + "end"), (2, "begin" + "x" * 200_000 + "end"), (3, "xyz" * 900), (4, "zxyz" + "xyz" * 20_000 + "x")]
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert spans == {1: [], 2: [(5, 200_008)], 3: [], 4: [(0, 60_005)]}
+
+
+def test_shuffle_files_are_dropped(spark):
+    # What the comparisons shuffle is gone when the places are stored.
+    rng = random.Random(3)
+    rows = [(i, 0, text) for i, (_, text) in enumerate(texts(rng, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, tag long, text string")
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {str(f) for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+    before = files()
+    found = suffixes.repeated_windows(docs, sum(len(t) for *_, t in rows), 50)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert found.where(F.col("place") >= 0).count() > 0
