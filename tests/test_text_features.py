@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import tracemalloc
 import unicodedata
@@ -10,6 +11,7 @@ import pytest
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
+from tagloom.catalog.features import q_tfidf_char
 from tagloom.functions import text as fx
 from tagloom.operators import features, grams, text
 from tagloom.session import scratch_path
@@ -140,6 +142,20 @@ def test_tfidf_matches_definition(rows, mode, grams):
         assert got[key] == pytest.approx(expected, abs=1e-6)
 
 
+def test_char_query_keeps_every_gram(spark, rows):
+    """More grams of two documents than the caps of the other queries leave."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abcdefghij", k=1500)) for _ in range(4)]
+    docs = [(i, "en", text) for i, text in enumerate([*texts, texts[0][::-1], texts[1], "", "zq"])]
+    path = scratch_path(spark, "tables")
+    rows(docs, "doc_id long, lang string, text string").write.parquet(f"{path}/documents.parquet")
+    vocab, want = reference_tfidf([t for *_, t in docs], lambda t: python_grams(t, 3, 5), 2)
+    assert len(vocab) > 3000
+    got = {(r["doc_id"], r["feature_id"]): r["value"] for r in q_tfidf_char(spark, path).collect()}
+    assert got.keys() == {(key, i) for (key, *_), found in zip(docs, want) for i in found}
+    assert got == pytest.approx({(key, i): v for (key, *_), found in zip(docs, want) for i, v in found.items()}, abs=6e-6)
+
+
 def test_combined_blocks_and_round_trip(spark, rows):
     df = rows(SMOKE, "id long, text string")
     model, out = features.fit_transform_splits({"train": df, "val": df.limit(0)}, "id")
