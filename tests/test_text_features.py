@@ -5,13 +5,14 @@ import tracemalloc
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
-from tagloom.catalog.features import q_tfidf_char
+from tagloom.catalog.features import _rows, q_tfidf_char
 from tagloom.functions import text as fx
 from tagloom.operators import features, grams, text
 from tagloom.session import scratch_path
@@ -216,6 +217,49 @@ def test_gram_counts_by_brute_force(monkeypatch, bits):
     assert got == dict(want)
 
 
+def test_characters_are_folded_as_in_columns(rows):
+    """Every code point that is no surrogate, between letters and beside blanks; marks, ligatures, runs at the ends."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}" for c in points[i : i + 4000]) for i in range(0, len(points), 4000)]
+    texts += ["", " ", "  ", "\n\t", "a  b", " \u0301 ", "\u0301", "e\u0301\u0323ﬃ½  \u2003x ", "\x1c\x1d", "ﷺ", "가각"]
+    df = rows(list(enumerate(texts)), "id int, t string").select("id", fx.collapse_blanks(fx.strip_accents(F.col("t"))).alias("t"))
+    want = [r["t"] for r in df.orderBy("id").collect()]
+    for some in (slice(None), slice(-11, None), slice(-11, -10), slice(-7, -6)):
+        items = grams.Items.characters(texts[some]).without_marks().with_single_blanks()
+        got = ["".join(items.names[i] for i in items.ids[low:high]) for low, high in zip(items.starts, items.starts[1:])]
+        assert got == want[some]
+
+
+def test_grams_are_found_among_known_ones():
+    known = ["abc", "ab", "é😀", "abcde", "zzz", "c"]
+    lookup = grams.Lookup.of(grams.Items.characters(known), np.arange(10, 16))
+    for texts in (["abcde", "", "é😀abx", "zz"], ["qq"]):
+        for counts in grams.counted(grams.Items.characters(texts), 1, 6, ""):
+            assert lookup.find(counts).tolist() == [known.index(t) + 10 if t in known else -1 for t in counts.terms]
+            assert counts.strings().to_pylist() == counts.terms
+    none = grams.Lookup.of(grams.Items.characters([]), np.arange(0))
+    assert [none.find(c).tolist() for c in grams.counted(grams.Items.characters(["ab"]), 1, 2, "")] == [[-1, -1], [-1]]
+    words = grams.Lookup.of(grams.Items.words(["no pain", "pain", "a b c"]), np.arange(3))
+    found = {t: i for c in grams.counted(grams.Items.words(["pain no pain"]), 1, 2, " ") for t, i in zip(c.terms, words.find(c).tolist())}
+    assert found == {"pain": 1, "no": -1, "pain no": -1, "no pain": 0}
+
+
+@pytest.mark.parametrize("bits", [62, 8])
+def test_pairs_are_added_up(monkeypatch, bits):
+    monkeypatch.setattr(grams, "NUMBER_BITS", bits)
+    lists = [np.array(x) for x in ([1, 0, 1], [0, 0])], [np.array(x) for x in ([4, 2, 4], [2, 9])], [np.array(x) for x in ([1, 5, 2], [7, 1])]
+    assert [x.tolist() for x in grams.added(*lists, 10)] == [[0, 0, 1], [2, 9, 4], [12, 1, 3]]
+
+
+def test_digits_are_rounded_as_by_round(rows):
+    """Halves of the last digit that a float holds exactly go up; lists without values give no rows."""
+    values = [float(np.float32(v)) for v in (1 / 64, 3 / 64, 0.5, 1.0, 1e-9, 0.000005, 0.123455, 0.99999, 0.9999999, *np.random.default_rng(3).random(3000))]
+    df = rows([(1, list(range(len(values))), values), (2, [], []), (3, None, None), (4, [1], None)], "doc_id long, feature_ids array<int>, feature_values array<float>")
+    pairs = df.select("doc_id", F.explode(F.arrays_zip("feature_ids", "feature_values")).alias("e"))
+    want = pairs.select("doc_id", "e.feature_ids", F.round(F.col("e.feature_values").cast("double"), 5)).filter("feature_ids IS NOT NULL")
+    assert sorted(map(tuple, _rows(df).collect())) == sorted(map(tuple, want.filter("doc_id = 1").collect()))
+
+
 @pytest.mark.parametrize("items", [5, 1_000_000])
 def test_tfidf_counts_texts_of_a_key_together(rows, monkeypatch, items):
     """In one plan without a row per gram: texts of a key, null too, make one document however batches are cut."""
